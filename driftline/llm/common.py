@@ -2,44 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.sources.intermediate import shared_folder, stored
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space, the characters that separate words.
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
-_own_folder: str | None = None
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for written intermediates: ``spark.checkpoint.dir``, which all executors share.
-
-    Only a local master may leave it unset; a folder of this process is then made and removed at exit.
-    """
-    global _own_folder
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="driftline-")
-        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
-    return f"file://{_own_folder}"
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -50,10 +31,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: what was written survives the loss of executors, and ids made by
     ``monotonically_increasing_id`` are fixed from here on.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def drop_written(df: DataFrame) -> None:

@@ -18,14 +18,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WORD, table
+from driftline.llm.common import table
 
 #: Labelled rows of each class that the fit reads at most, pairs per bad document, ridge term.
 SAMPLE = 6000
@@ -61,7 +62,7 @@ def features(text: str | None) -> list[float]:
     return [np.log1p(n), chars / n, float((lengths > 12).mean()), len(counts) / n, max(counts.values()) / n, threes, upper, digits, symbols, exclaim, stops, commas, punct, len(lines) / n, 1 - len(set(lines)) / max(len(lines), 1), foreign, 0.0]
 
 
-def feature_table(texts: pd.Series) -> np.ndarray:
+def feature_table(texts: Iterable[str | None]) -> np.ndarray:
     return np.array([features(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
 
 
@@ -132,13 +133,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = score(model, feature_table(pdf["text"]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["_held"], "score": s, "predicted": (s >= CUT).astype(np.int32)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = score(model, feature_table(batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", held_out().alias("_held"), "text")
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def good_documents(docs: DataFrame, model: dict) -> DataFrame:

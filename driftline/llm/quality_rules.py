@@ -27,6 +27,8 @@ ALPHA = 0.01
 LEAST_ROWS = 50
 #: Outer fence: so many interquartile ranges beyond a quartile.
 FENCE = 4.0
+#: The interquartile range counts as this share of the upper quartile at least: groups of like documents have none.
+LEAST_SPREAD = 0.05
 #: Rates, each with the resolution of its sketch: all values up to it share the lowest bin, and no upper limit is below it.
 RATES = {"symbols": 0.05, "dup_lines": 0.5, "repeats": 0.35, "word_length": 1.0}
 #: Rates that are also limited from below.
@@ -112,8 +114,9 @@ def limits(sketch: DataFrame, fence: float = FENCE) -> DataFrame:
         return _middle(end["at"], F.col("least"))
 
     bins = bins.withColumn("q1", quantile(0.25)).withColumn("q3", quantile(0.75))
-    low = F.when(F.col("rate").isin(*TWO_SIDED), F.col("q1") - fence * (F.col("q3") - F.col("q1"))).otherwise(F.lit(-1.0))
-    return bins.select("level", "lang", "source", "rate", "rows", low.alias("low"), (F.col("q3") + fence * (F.col("q3") - F.col("q1"))).alias("high"))
+    spread = F.greatest(F.col("q3") - F.col("q1"), LEAST_SPREAD * F.col("q3"))
+    low = F.when(F.col("rate").isin(*TWO_SIDED), F.col("q1") - fence * spread).otherwise(F.lit(-1.0))
+    return bins.select("level", "lang", "source", "rate", "rows", low.alias("low"), (F.col("q3") + fence * spread).alias("high"))
 
 
 def chosen_limits(limit: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -140,3 +143,31 @@ def quality_rules(docs: DataFrame, fence: float = FENCE, least_rows: int = LEAST
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+_RATE_SQL = ", ".join(f"('{k}', CAST({v} AS DOUBLE), {k})" for k, v in RATES.items())
+OP4_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT row, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT row, unnest([{{'i': i, 'g': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]}} for i in range(1, len(w) - 1)]) AS g FROM w),
+twice AS (SELECT row, g.i AS i FROM g QUALIFY count(*) OVER (PARTITION BY row, g.g.g) > 1),
+covered AS (SELECT row, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY row),
+c AS (SELECT d.row, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) for x in w]), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS lines, coalesce(n, 0) AS n_repeat_words
+  FROM d JOIN w ON d.row = w.row LEFT JOIN covered ON d.row = covered.row),
+b AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END AS symbols, CASE WHEN lines > 0 THEN n_dup_lines / lines ELSE 0.0 END AS dup_lines,
+  CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS repeats, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS word_length FROM c),
+long AS (SELECT row, lang, source, base_failed, r.* FROM b, LATERAL (VALUES {_RATE_SQL}) AS r(rate, least, v)),
+k AS (SELECT lang, source, rate, least, CASE WHEN v <= least THEN 0 ELSE CAST(ceil(ln(v / least) / ln(CAST({(1 + ALPHA) / (1 - ALPHA)!r} AS DOUBLE)) - 1e-9) AS BIGINT) END AS bin FROM long WHERE NOT base_failed),
+s AS (SELECT 0 AS level, lang, source, rate, least, bin FROM k UNION ALL SELECT 1, lang, NULL, rate, least, bin FROM k UNION ALL SELECT 2, NULL, NULL, rate, least, bin FROM k),
+n AS (SELECT level, lang, source, rate, least, bin, count(*) AS n FROM s GROUP BY ALL),
+q AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY level, lang, source, rate) AS rows FROM n),
+f AS (SELECT level, lang, source, rate, any_value(least) AS least, max(rows) AS rows, min(CASE WHEN seen > 0.25 * (rows - 1) THEN bin END) AS b1, min(CASE WHEN seen > 0.75 * (rows - 1) THEN bin END) AS b3 FROM q GROUP BY level, lang, source, rate),
+m AS (SELECT *, CASE WHEN b1 = 0 THEN least ELSE least * 2 * pow({(1 + ALPHA) / (1 - ALPHA)!r}, b1) / ({(1 + ALPHA) / (1 - ALPHA)!r} + 1) END AS q1, CASE WHEN b3 = 0 THEN least ELSE least * 2 * pow({(1 + ALPHA) / (1 - ALPHA)!r}, b3) / ({(1 + ALPHA) / (1 - ALPHA)!r} + 1) END AS q3 FROM f),
+z AS (SELECT level, lang, source, rate, rows, CASE WHEN rate IN ('word_length') THEN q1 - {FENCE} * greatest(q3 - q1, {LEAST_SPREAD} * q3) ELSE -1 END AS low, q3 + {FENCE} * greatest(q3 - q1, {LEAST_SPREAD} * q3) AS high FROM m),
+own AS (SELECT long.row, bool_and(v BETWEEN x.low AND x.high) AS inside FROM long
+  JOIN z o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM long.lang AND o.source IS NOT DISTINCT FROM long.source AND o.rate = long.rate
+  JOIN z l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM long.lang AND l.rate = long.rate JOIN z e ON e.level = 2 AND e.rate = long.rate,
+  LATERAL (SELECT CASE WHEN o.rows >= {LEAST_ROWS} THEN o.low WHEN l.rows >= {LEAST_ROWS} THEN l.low ELSE e.low END AS low, CASE WHEN o.rows >= {LEAST_ROWS} THEN o.high WHEN l.rows >= {LEAST_ROWS} THEN l.high ELSE e.high END AS high) x GROUP BY long.row)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, true) AS kept FROM b LEFT JOIN own ON b.row = own.row
+"""

@@ -26,7 +26,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +43,8 @@ BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 FANOUT = 16
 #: Fingerprints of one entry that are searched together; above, an entry is split.
 SPLIT = 32768
-#: Entries of so few fingerprints are compared directly.
-SMALL = 8
+#: Entries of so few fingerprints have a single node; the scans of all such nodes run together.
+SMALL = FANOUT
 #: Fingerprints that are searched from at a time.
 WAVE = 64
 
@@ -75,12 +74,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and ``fp``, the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -249,7 +248,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     Rows without an id stay if their component has no id at all; rows repeated with the id that stays all stay.
     """
     keep = near_duplicates(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    rows = docs.select("doc_id", F.struct("*").alias("_doc"))
+    return rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").select("_doc.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

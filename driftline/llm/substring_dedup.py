@@ -30,8 +30,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,7 +176,7 @@ def settle(rows: DataFrame) -> DataFrame:
     """``doc``, ``pack``, ``repeat``: repeats (true), and earliest runs of anchors with several digests (false)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4  # the earliest run of the last digest
+        held = [np.zeros(0, np.int64)] * 4  # the earliest run of the last digest, with ties
         told = False  # it has been given out
         for batch in batches:
             if not batch.num_rows:
@@ -187,20 +187,21 @@ def settle(rows: DataFrame) -> DataFrame:
             new[1:] |= passed[:-1]
             lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
             later = passed | (doc != doc[lead]) | (pack >> 36 != pack[lead] >> 36)
+            group = np.cumsum(new) - 1
             heads = np.flatnonzero(new)
             alike = (key[heads][1:] == key[heads][:-1]) & ~passed[heads][1:] & ~passed[heads][:-1]
             several = np.r_[False, alike] | np.r_[alike, False]
-            given = several & ~passed[heads]
-            if len(held[0]) and told:
-                given[0] = False
-            if len(held[0]):
-                later[0] = False
-            ahead = heads[given]
+            # the earliest run of each digest, and others that start there in rows of the same doc_id
+            given = several[group] & ~passed & ~later
+            if told:
+                given[: len(held[0])] = False
+            ahead = np.flatnonzero(given)
             whole = np.flatnonzero(later)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[doc[whole], doc[ahead]]), pa.array(np.r_[pack[whole], pack[ahead]]), pa.array(np.r_[np.ones(len(whole), bool), np.zeros(len(ahead), bool)])], ["doc", "pack", "repeat"])
             end = heads[-1]
             told = bool(several[-1]) or (end == 0 and told)
-            held = [x[end : end + 1] for x in (key, digest, doc, pack)]
+            first = end + np.flatnonzero(~later[end:])
+            held = [x[first] for x in (key, digest, doc, pack)]
             if passed[end]:
                 held, told = [np.zeros(0, np.int64)] * 4, False
 
@@ -245,25 +246,37 @@ def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document, and ``kept_text``: its kept words joined by spaces."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for text, packs in zip(pdf["text"], pdf["packs"], strict=True):
+            for text, packs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = _WORDS(text)
                 gone = 0
                 kept = words
-                if packs is not None and len(packs):
+                if packs:
                     mask = removed_mask(len(words), packs, window)
                     gone = int(mask.sum())
                     kept = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
                 line = " ".join(kept)
                 out.append((len(words), gone, hashlib.sha256(line.encode("utf-8", "replace")).hexdigest(), line))
-            result = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept_text"])
-            doc = pdf["doc"].reset_index(drop=True)
-            yield result.assign(doc_id=doc.astype("Int64").mask(doc == LAST))
+            doc = batch.column(0)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pc.if_else(pc.equal(doc, LAST), pa.scalar(None, pa.int64()), doc), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return _kept(docs, repeats(docs, window, k)).select("doc", "text", "packs").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return _kept(docs, repeats(docs, window, k)).select("doc", "text", "packs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP8_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT row, doc, unnest([{'i': i, 'g': array_to_string(list_slice(w, i, i + 19), ' ')} for i in range(1, len(w) - 18)]) AS g FROM d),
+f AS (SELECT row, doc, g.i AS i, first_value(doc) OVER o AS first_doc, first_value(g.i) OVER o AS first_i FROM g WINDOW o AS (PARTITION BY g.g.g ORDER BY doc, g.i)),
+gone AS (SELECT DISTINCT row, i + j AS i FROM f, (SELECT unnest(range(0, 20)) AS j) WHERE doc > first_doc OR i > first_i),
+p AS (SELECT row, unnest([{'i': i, 'w': w[i]} for i in range(1, len(w) + 1)]) AS p FROM d),
+k AS (SELECT p.row, count(gone.i) AS n, coalesce(string_agg(CASE WHEN gone.i IS NULL THEN p.p.w END, ' ' ORDER BY p.p.i), '') AS kept FROM p LEFT JOIN gone ON p.row = gone.row AND p.p.i = gone.i GROUP BY p.row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.row = k.row
+"""

@@ -37,11 +37,16 @@ def test_counts_equal_the_library():
 def test_ids_equal_the_library_and_decode_back():
     lib, (vocab, _) = encoding(), B.vocabulary(RANKS, P.PATTERN)
     texts = odd_texts()
-    ids = [[i for part in parts for i in part] for parts in B.encode_texts(texts, RANKS, P.PATTERN)]
+    ids = list(B.encode_texts(texts, RANKS, P.PATTERN))
     assert ids == [lib.encode_ordinary(t) for t in texts]
     assert all(vocab.decode(i) == t.encode() for i, t in zip(ids, texts, strict=True))
 
 
+def test_a_small_cache_changes_nothing():
+    texts = odd_texts()[:300]
+    assert list(B.encode_texts(texts, RANKS, P.PATTERN, cache_size=3)) == list(B.encode_texts(texts, RANKS, P.PATTERN))
+
+
 def test_rank_queue_pops_in_order():
     import numpy as np
 
