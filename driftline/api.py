@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +57,13 @@ class Smoother:
     def __init__(self, config: SmootherConfig | None = None, **options: Any):
         self.config = config or SmootherConfig(**options)
 
-    def fit(self, df: DataFrame, x: str | list[str], y: str, partition_by: str | list[str] | None = None, order_by: str | list[str] | None = None, na: str = "raise") -> Smoothed:
-        """Smooth every series of ``df``."""
+    def fit(self, df: DataFrame, x: str | list[str], y: str, partition_by: str | list[str] | None = None, order_by: str | list[str] | None = None, na: str = "raise", precision: str = "double", custom_fit: Callable | None = None) -> Smoothed:
+        """Smooth every series of ``df``; ``precision="float"`` gives single-precision columns."""
         keys = _list(partition_by)
-        return Smoothed(grouped.fit_groups(df, keys, _list(x), y, self.config, _list(order_by) or None, na), keys, self.config)
+        rows = grouped.fit_groups(df, keys, _list(x), y, self.config, _list(order_by) or None, na, custom_fit=custom_fit)
+        if precision == "float":
+            rows = rows.withColumns({k: F.col(k).cast("float") for k in grouped.point_fields(self.config)})
+        return Smoothed(rows, keys, self.config)
 
     def fit_large(self, df: DataFrame, x: str, y: str) -> DataFrame:
         """Smooth one series of any length with distinct x: x, y, y_smooth, rob_weight."""

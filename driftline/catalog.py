@@ -505,7 +505,7 @@ _add("surface_fit_1d", _grouped({"fraction": SPAN, "iterations": 1, "return_se":
 
 def _stream_online(spark: SparkSession, d: str) -> DataFrame:
     """The online smoother over a stream of the events, run until all input is used."""
-    events = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet")
+    events = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = events.select("user_id", "event_id", F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
     out = stateful.online_stream(rows, "user_id", ["x"], "y", _ONLINE, "event_id")
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

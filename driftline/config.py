@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from driftline import errors as E
@@ -68,6 +69,8 @@ class SmootherConfig:
     update_mode: str = "incremental"
     compat: bool = True
     strict: bool = False
+    #: A vectorised weight function of the scaled distance, in place of ``weight_function``.
+    custom_weight: Callable | None = None
 
     def __post_init__(self) -> None:
         if self.adapter not in DEFAULTS:

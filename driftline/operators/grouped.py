@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,11 +80,11 @@ def checked(df: DataFrame, x: list[str], y: str, na: str = "raise") -> DataFrame
     return df.withColumn("_ok", F.when(bad, F.raise_error(F.lit("predictors and responses must be finite"))).otherwise(True)).filter("_ok").drop("_ok")
 
 
-def fit_groups(df: DataFrame, keys: list[str], x: list[str], y: str, c: SmootherConfig, order_by: list[str] | None = None, na: str = "raise", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def fit_groups(df: DataFrame, keys: list[str], x: list[str], y: str, c: SmootherConfig, order_by: list[str] | None = None, na: str = "raise", max_group_rows: int = MAX_GROUP_ROWS, custom_fit: Callable[[np.ndarray, np.ndarray, SmootherConfig], Fit] | None = None) -> DataFrame:
     """``df`` with the columns of ``point_fields`` and, in the first row of each series, ``_summary``.
 
     Rows of a series are taken in the order of ``order_by``, by default the predictors. Without keys the
-    whole table is one series.
+    whole table is one series. ``custom_fit`` takes the place of the built-in fit of a series.
     """
     if len(x) != c.dimensions:
         raise E.MismatchedInputs(f"{len(x)} predictor columns, {c.dimensions} dimensions")
@@ -94,7 +96,7 @@ def fit_groups(df: DataFrame, keys: list[str], x: list[str], y: str, c: Smoother
             raise E.InvalidInput(f"a series has {len(pdf)} rows, more than {max_group_rows}; one-dimensional ones can be fitted by fit_surface")
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         values = pdf[y].to_numpy(np.float64)
-        fit = fit_series(pdf[x].to_numpy(np.float64), values, c)
+        fit = (custom_fit or fit_series)(pdf[x].to_numpy(np.float64), values, c)
         out = pdf.assign(**_columns(fit, values, c))
         out["_summary"] = pd.Series([_summary(fit, c), *[None] * (len(pdf) - 1)], dtype=object)
         return out

@@ -201,7 +201,8 @@ class LocalFits:
 
     def __post_init__(self) -> None:
         self.reach = self.gap.max(axis=1)
-        self.weight = kernel(self.config.weight_function, self.gap / np.where(self.reach > EPS, self.reach, 1.0)[:, None])
+        weigh = self.config.custom_weight or (lambda u: kernel(self.config.weight_function, u))
+        self.weight = weigh(self.gap / np.where(self.reach > EPS, self.reach, 1.0)[:, None])
 
     def weighted_mean(self, robust: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weighted means (plain ones where all weights vanish) and the sums of weights."""
