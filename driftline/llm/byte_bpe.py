@@ -9,7 +9,8 @@ come before the next place of the same pre-token, is applied at the first place
 the rest being put back. Each pair goes into a bucket once when it arises, so the work for a pre-token
 grows with its length times the logarithm of a bucket's size, also for a very long one.
 
-Ids of pre-tokens are kept per worker in a table of bounded size, which is emptied when full. Documents
+Ids of pre-tokens are kept per worker in a table of bounded size, which is emptied when full; texts are
+held as numbers of pre-tokens meanwhile. Documents
 are independent: there is no shuffle.
 
 Defined results: a null text is the empty text: 0 tokens, digests of nothing. Repeated rows and null ids
@@ -20,20 +21,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm.common import table
 
 #: Pre-tokens that a worker remembers.
-CACHE = 250_000
+CACHE = 500_000
 #: Characters of text that are worked off together, about.
-CHUNK = 4_000_000
+CHUNK = 16_000_000
 
 
 class RankQueue:
@@ -163,68 +166,104 @@ class ByteVocabulary:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class PreTokens(dict):
+    """Numbers of the pre-tokens seen, in the order they came, with their ids once encoded."""
+
+    def __init__(self, vocab: ByteVocabulary):
+        self.vocab, self.fresh = vocab, []
+        self.ids: list[list[int]] = []
+        self.names: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+    def read(self, text: str | None) -> array:
+        """The numbers of the pre-tokens of a text."""
+        return array("I", map(self.__getitem__, self.vocab.find(text))) if text else array("I")
+
+    def encode(self) -> None:
+        """Encode, all at once, the pre-tokens that are new."""
+        ids = self.vocab.encode_all([w.encode("utf-8", "replace") for w in self.fresh]) if self.fresh else []
+        self.ids += ids
+        self.names += [",".join(map(str, x)) for x in ids]
+        self.fresh = []
+
+    def forget(self) -> None:
+        self.clear()
+        self.ids, self.names = [], []
+
+
 @lru_cache(maxsize=2)
-def vocabulary(path: str, pattern: str) -> tuple[ByteVocabulary, dict[str, list[int]]]:
-    return ByteVocabulary(path, pattern), {}
+def vocabulary(path: str, pattern: str) -> tuple[ByteVocabulary, PreTokens]:
+    vocab = ByteVocabulary(path, pattern)
+    return vocab, PreTokens(vocab)
 
 
-def encode_texts(texts: list[str | None], path: str, pattern: str, cache_size: int = CACHE) -> Iterator[list[list[int]]]:
-    """For each whole text the ids, listed by pre-token."""
-    vocab, known = vocabulary(path, pattern)
+def read_texts(texts: list[str | None], path: str, pattern: str, cache_size: int = CACHE) -> Iterator[tuple[PreTokens, array]]:
+    """For each whole text the numbers of its pre-tokens, which by then are encoded; to be used at once."""
+    _, known = vocabulary(path, pattern)
     start = 0
     while start < len(texts):
-        stop, size = start, 0
+        if len(known) > cache_size:
+            known.forget()
+        stop, size, found = start, 0, []
         while stop < len(texts) and size < CHUNK:
+            found.append(known.read(texts[stop]))
             size += len(texts[stop] or "")
             stop += 1
-        found = [vocab.find(t) if t else [] for t in texts[start:stop]]
-        if len(known) > cache_size:
-            known.clear()
-        if new := list({w for ws in found for w in ws if w not in known}):
-            known.update(zip(new, vocab.encode_all([w.encode("utf-8", "replace") for w in new]), strict=True))
-        for ws in found:
-            yield list(map(known.__getitem__, ws))
+        known.encode()
+        for numbers in found:
+            yield known, numbers
         start = stop
 
 
+def encode_texts(texts: list[str | None], path: str, pattern: str, cache_size: int = CACHE) -> Iterator[list[int]]:
+    """The ids of each whole text."""
+    for known, numbers in read_texts(texts, path, pattern, cache_size):
+        yield list(chain.from_iterable(map(known.ids.__getitem__, numbers)))
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids``: the ids of every whole text as an array."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = [[i for part in parts for i in part] for parts in encode_texts(pdf["text"].tolist(), path, pattern)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = list(encode_texts(batch.column(1).to_pylist(), path, pattern))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``bytes``: the decoded bytes of ``ids``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, _ = vocabulary(path, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "bytes": [vocab.decode(list(x)) for x in pdf["ids"]]})
+        for batch in batches:
+            decoded = [vocab.decode(x or []) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every whole text encoded, and its ids decoded."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, _ = vocabulary(path, pattern)
-        names = {i: str(i) for i in vocab.tokens}
-        for pdf in batches:
+        for batch in batches:
             counts, coded, decoded = [], [], []
-            for parts in encode_texts(pdf["text"].tolist(), path, pattern):
-                ids = [i for part in parts for i in part]
+            for known, numbers in read_texts(batch.column(1).to_pylist(), path, pattern):
+                ids = list(chain.from_iterable(map(known.ids.__getitem__, numbers)))
                 counts.append(len(ids))
-                coded.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                coded.append(hashlib.sha256(",".join(map(known.names.__getitem__, numbers)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": np.array(counts, np.int64), "ids_sha256": coded, "decoded_sha256": decoded})
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
