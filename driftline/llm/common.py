@@ -34,14 +34,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once, also where ``body`` uses it inside other lambdas."""
     return F.get(F.transform(F.array(value), body), 0)

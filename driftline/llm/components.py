@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import written
+from driftline.sources.intermediate import discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,8 +29,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        links = written(small.filter("a <> b").distinct(), "links")
-        # done when every node hangs on a root: no node is both a child and a parent, and none has two parents
+        earlier, links = links, written(small.filter("a <> b").distinct(), "links")
+        discard(earlier), discard(large)  # the new table stands by itself
+        # a round that changes nothing has found stars only: every node hangs on its root
         state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
