@@ -29,4 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: computed once, and safe from the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
