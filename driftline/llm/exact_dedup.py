@@ -102,12 +102,16 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     Texts meet the narrow kept rows by (doc_id, digest), of which no value is frequent; of rows that are
     repeated whole, one stays.
     """
-    keys = ["_id", "_sha"]
-    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    rows = docs.withColumn("_id", F.col("doc_id")).withColumn("_sha", F.sha2(without_white(text_of()).cast("binary"), 256)).withColumn("_chars", F.char_length(text_of()))
-    rows = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    best = Window.partitionBy(*keys).orderBy(F.desc("_chars"))
-    return rows.withColumn("_nth", F.row_number().over(best)).filter("_nth = 1").select(*docs.columns)
+    keep = exact_dedup(docs).filter("kept").select(_text_id("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"))
+    sha, chars = F.sha2(without_white(text_of()).cast("binary"), 256), F.char_length(text_of())
+    rows = docs.select(_text_id("doc_id").alias("_key"), sha.alias("_sha"), chars.alias("_chars"), F.struct("*").alias("_doc"))
+    best = Window.partitionBy("_key", "_sha").orderBy(F.desc("_chars"))  # by the join's columns, so texts are shuffled once
+    rows = rows.join(keep, ["_key", "_sha"], "left_semi").withColumn("_nth", F.row_number().over(best))
+    return rows.filter("_nth = 1").select("_doc.*")
+
+
+def _text_id(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
