@@ -674,11 +674,33 @@ def online_value(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> tuple[float
         return (float(y[1]) if x[0, 0] != x[1, 0] else float(y.mean())), 1.0, 0
     check_data(x, y)
     if c.update_mode == "incremental":
+        if c.surface_mode == "direct" and c.boundary_policy == "none":
+            return float(full_windows(x, y, c.but(window_capacity=max(len(y), 3), min_points=2))[-1]) if len(y) > 2 else float(smooth(x, y, c, iterations=0).y[-1]), 1.0, 1
         return float(smooth(x, y, c, iterations=0).y[-1]), 1.0, 1
     fit = smooth(x, y, c)
     return float(fit.y[-1]), float(fit.weights[-1]), fit.iterations_used
 
 
+def full_windows(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> np.ndarray:
+    """Incremental direct values of the newest point of every full window, all windows at once."""
+    size, q = c.window_capacity, min(span(c.window_capacity, c.fraction), c.window_capacity)
+    ends = np.arange(size - 1, len(y))
+    out = np.empty(len(ends))
+    step = max(1, BLOCK // (size * x.shape[1]))
+    for k in range(0, len(ends), step):
+        at = ends[k : k + step]
+        rows = at[:, None] + np.arange(1 - size, 1)
+        offset = np.abs(x[rows] - x[at, None, :])
+        if c.distance_metric == "normalized":
+            width = np.ptp(x[rows], axis=1)
+            offset = offset / np.where(width > 0, width, 1)[:, None, :]
+        gap = distances(np.zeros((1, x.shape[1])), offset.reshape(-1, x.shape[1]), c, np.ones(x.shape[1])).reshape(rows.shape)
+        near = np.lexsort((x[rows, 0], gap), axis=1)[:, :q]
+        fits = LocalFits(x, y, x[at], np.take_along_axis(rows, near, axis=1), np.take_along_axis(gap, near, axis=1), c)
+        out[k : k + step] = fits.values(np.ones(len(y)), y[at], c.zero_weight_fallback)[0]
+    return out
+
+
 def merged(before: np.ndarray, now: np.ndarray, strategy: str) -> np.ndarray:
     """Two fits of the rows that two neighbouring blocks share, as one."""
     if strategy == "take_first":

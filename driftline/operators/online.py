@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from driftline.config import SmootherConfig
-from driftline.operators.numeric import online_value
+from driftline.operators.numeric import check_data, full_windows, online_value
 
 
 def online_rows(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> list[tuple[float | None, float, float | None, int | None]]:
     """y_smooth, residual, robustness weight and iterations of every point as it arrives; None until there are enough."""
     out = []
+    done = {}
+    if c.update_mode == "incremental" and c.surface_mode == "direct" and c.boundary_policy == "none" and len(y) >= c.window_capacity:
+        check_data(x, y)
+        done = dict(enumerate(full_windows(x, y, c).tolist(), c.window_capacity))
     for k in range(1, len(y) + 1):
+        if k in done:
+            out.append((done[k], float(y[k - 1]) - done[k], 1.0, 1))
+            continue
         first = max(0, k - c.window_capacity)
         if k - first < c.min_points:
             out.append((None, None, None, None))

@@ -252,3 +252,14 @@ def test_online_two_points():
 @pytest.mark.parametrize("strategy, want", [("average", [1, 1]), ("weighted_average", [0, 1]), ("take_first", [0, 0]), ("take_last", [2, 2])])
 def test_merging(strategy, want):
     assert N.merged(np.zeros(2), np.full(2, 2.0), strategy).tolist() == want
+
+
+@pytest.mark.parametrize("d", [1, 2])
+@pytest.mark.parametrize("metric", ["normalized", "euclidean", "manhattan"])
+def test_windows_at_once_equal_one_by_one(d, metric):
+    rng = np.random.default_rng(d)
+    x, y = rng.random((40, d)), rng.random(40)
+    c = SmootherConfig(adapter="online", dimensions=d, distance_metric=metric, fraction=0.7, window_capacity=12, surface_mode="direct", boundary_policy="none")
+    want = [N.smooth(x[k - 12 : k], y[k - 12 : k], c, iterations=0).y[-1] for k in range(12, 41)]
+    assert np.allclose(N.full_windows(x, y, c), want)
+    assert N.online_value(x[:7], y[:7], c)[0] == pytest.approx(N.smooth(x[:7], y[:7], c, iterations=0).y[-1])
