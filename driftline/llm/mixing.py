@@ -28,8 +28,10 @@ SEED = 17
 MOST_REPEATS = 3
 #: The part that is left to dynamic programming, in multiples of the largest size.
 SPAN = 2
+#: Budgets up to this are left to it as a whole.
+LEAST_REACH = 4096
 #: Documents of one source and size that one window ranks, about.
-SLICE = 4096
+SLICE = 256
 
 
 def size_of(text: Column) -> Column:
@@ -71,8 +73,8 @@ def fit_budget(sizes: list[int], counts: list[int], budget: int, span: int = SPA
     if not sizes or budget <= 0 or total <= 0:
         return [0] * len(sizes)
     budget = min(budget, total)
-    reach = span * max(sizes)
-    take = [c * budget // total for c in counts] if budget > max(reach, 4096) else [0] * len(counts)
+    reach = max(span * max(sizes), LEAST_REACH)
+    take = [c * budget // total for c in counts] if budget > reach else [0] * len(counts)
     rest = budget - sum(s * t for s, t in zip(sizes, take, strict=True))
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):  # one more of the large sizes, down to what the program can hold
         if rest <= reach:
@@ -163,11 +165,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     own = lambda source, row: [F.xxhash64(source, "doc_id", row).alias("_key"), F.coalesce("doc_id", F.lit(0)).alias("_id")]
     times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_times"))
     total = _mixed(docs, weights, most, seed).select(*own("_source", "_row"), times.alias("_times")).groupBy("_key", "_id").agg(F.sum("_times").alias("_total"), F.count("*").alias("_rows"))
-    rows = docs.select("*", *own("source", F.xxhash64(text_of())))
+    rows = docs.select(*own("source", F.xxhash64(text_of())), F.struct("*").alias("_doc"))
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_id").orderBy("_key"))).join(total, ["_key", "_id"])
     copies = F.floor(F.col("_total") / F.col("_rows")) + (F.col("_nth") <= F.col("_total") % F.col("_rows")).cast("long")
     rows = rows.withColumn("_copies", copies).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
