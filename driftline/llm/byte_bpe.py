@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from driftline.llm.common import table
 
 #: Pre-tokens that a worker remembers.
-CACHE = 500_000
+CACHE = 300_000
 #: Characters of text that are worked off together, about.
-CHUNK = 16_000_000
+CHUNK = 8_000_000
 
 
 class RankQueue:
@@ -91,6 +91,7 @@ class ByteVocabulary:
                 if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None:
                     left.append(a), right.append(b), out.append(rank)
         self.size = max(self.tokens) + 1
+        self.ints = list(range(self.size))
         key = np.array(left, np.int64) * self.size + np.array(right, np.int64)
         order = np.argsort(key)
         self.key, self.out = key[order], np.array(out, np.int64)[order]
@@ -159,7 +160,7 @@ class ByteVocabulary:
         left = ids[:-1] >= 0
         ids, owner = ids[:-1][left], owner[:-1][left]
         ends = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
-        ids = ids.tolist()
+        ids = list(map(self.ints.__getitem__, ids.tolist()))  # one object per id, however often it is remembered
         return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def decode(self, ids: list[int]) -> bytes:
