@@ -174,3 +174,11 @@ def test_labelled_templates_are_rejected_by_purity(spark):
     assert got["http://h.org/ads/29"]["verdict"] == "block" and got["http://h.org/promo/29.html"]["verdict"] == "block" and got["http://h.org/news/item3"]["verdict"] == "allow"
     assert got["http://h.org/news/item3"]["template"].endswith("/*")  # many rare children
     assert got["http://h.org/ads/29"]["template"] == got["http://h.org/promo/29.html"]["template"] == "/+/*"  # alike, so merged
+
+
+def test_purity_reaches_pages_that_no_rule_judges(spark):
+    urls = [f"http://bad.net/de/{k}" for k in range(60)] + [f"http://bad.net/fr/{k}" for k in range(4)] + [f"http://good.net/de/{k}" for k in range(20)] + [f"http://good.net/fr/{k}" for k in range(20)] + ["http://few.net/de/1", "http://few.net/fr/1"]
+    got = {urls[r["page_id"]]: r for r in U.url_filter(pages(spark, urls)).collect()}
+    assert all(r["verdict"] == "allow" for u, r in got.items() if "good.net/fr" in u or "few.net/fr" in u)
+    assert all(r["rule"] is None and r["verdict"] == "block" for u, r in got.items() if "bad.net/fr" in u)
+    assert got["http://bad.net/fr/1"]["purity"] == pytest.approx((60 + 2 * 81 / 106) / (64 + 2))
