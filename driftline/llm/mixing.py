@@ -1,12 +1,14 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 A source's target is met by whole passes over its documents and one part pass. For the part pass the
-documents are counted by exact size; of each size the proportional number (rounded down) is taken, and a
-bounded-knapsack dynamic program over the counts that are left fills the remaining budget as exactly as
-the sizes allow. Which documents of a size are taken is decided by a seeded hash of the document.
+documents are counted by exact size; of each size the proportional number is taken, rounded with a carried
+remainder from a seeded start, so that less than the largest size is missing or too much. A bounded-knapsack
+dynamic program over what may be added and given back meets the budget as exactly as the sizes allow. Which
+documents of a size are taken is decided by a seeded hash of the document.
 
 Scale: the program runs per source on the histogram of sizes, not on documents: its work depends on the
-largest size, since all but a remainder of about ``SPAN`` times that size is filled proportionally first.
+largest size, as the proportional part leaves less than that. Its sums reach ``SPAN`` times that size at
+first, and further, up to ``MOST_BITS`` of memory, only while a budget is not met as nearly as it could be.
 Sizes with many documents are cut into slices of the hash range, so that no window holds more than about
 ``SLICE`` documents; slices that are taken whole or not at all need no ranking.
 
@@ -17,6 +19,9 @@ be taken, never both for one place). Sources without words have target 0. Empty
 
 from __future__ import annotations
 
+import math
+import random
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,10 +31,10 @@ from driftline.llm.common import WORD, table, text_of, written
 SEED = 17
 #: No document is taken more often than this.
 MOST_REPEATS = 3
-#: The part that is left to dynamic programming, in multiples of the largest size.
+#: How far the sums of the dynamic program reach at first, in multiples of the largest size.
 SPAN = 2
-#: Budgets up to this are left to it as a whole.
-LEAST_REACH = 4096
+#: They reach further while all its steps together stay below so many bits.
+MOST_BITS = 1 << 29
 #: Documents of one source and size that one window ranks, about.
 SLICE = 256
 
@@ -62,61 +67,74 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     return w.withColumn("_common", level).select("_source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_common") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def fit_budget(sizes: list[int], counts: list[int], budget: int, span: int = SPAN) -> list[int]:
-    """How many documents of each size to take so that their sizes sum to ``budget`` as nearly as they can.
+def _adjusted(sizes: list[int], counts: list[int], take: list[int], rest: int, reach: int) -> tuple[list[int], int]:
+    """``take`` with documents added and given back so that the sum grows by ``rest`` as nearly as it can, and what is missed.
 
-    Proportional numbers first; then bounded-knapsack dynamic programming: the reachable sums are the bits
-    of an integer, and for each size its count is split into powers of two. The nearest reachable sum is
-    traced back. Bits: ``span`` times the largest size.
+    The reachable changes from -reach to reach are the bits of an integer, and for each size the number that
+    may be added, or given back, is split into powers of two. The nearest reachable change is traced back.
     """
-    total = sum(s * c for s, c in zip(sizes, counts, strict=True))
-    if not sizes or budget <= 0 or total <= 0:
-        return [0] * len(sizes)
-    budget = min(budget, total)
-    reach = max(span * max(sizes), LEAST_REACH)
-    take = [c * budget // total for c in counts] if budget > reach else [0] * len(counts)
-    rest = budget - sum(s * t for s, t in zip(sizes, take, strict=True))
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):  # one more of the large sizes, down to what the program can hold
-        if rest <= reach:
-            break
-        if sizes[i] and (n := min(counts[i] - take[i], max(0, rest - reach // 2) // sizes[i], 1 + (rest - reach) // sizes[i])) > 0:
-            take[i] += n
-            rest -= n * sizes[i]
-    limit = rest + max(sizes)  # sums above the budget may be nearer
-    mask, sums, steps = (1 << limit + 1) - 1, 1, []
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        left, power = (min(counts[i] - take[i], limit // sizes[i]) if sizes[i] else 0), 1
-        while left > 0:
-            n = min(power, left)
-            grown = (sums | sums << n * sizes[i]) & mask
-            if grown != sums:
-                steps.append((i, n, sums))
-                sums = grown
-            left, power = left - n, power * 2
-        if sums >> rest & 1:
+    mask, sums, goal, steps = (1 << 2 * reach + 1) - 1, 1 << reach, reach + rest, []
+    for i in sorted((i for i in range(len(sizes)) if sizes[i]), key=lambda i: -sizes[i]):
+        for sign, left in ((1, counts[i] - take[i]), (-1, take[i])):
+            left, power = min(left, 2 * reach // sizes[i]), 1
+            while left > 0 and not sums >> goal & 1:
+                n = min(power, left)
+                grown = (sums | (sums << n * sizes[i] if sign > 0 else sums >> n * sizes[i])) & mask
+                if grown != sums:
+                    steps.append((i, sign * n, sums))
+                    sums = grown
+                left, power = left - n, power * 2
+        if sums >> goal & 1:
             break
-    at = next(x for d in range(limit + 2) for x in (rest - d, rest + d) if 0 <= x <= limit and sums >> x & 1)
+    missed, at = next((d, x) for d in range(2 * reach + 2) for x in (goal - d, goal + d) if 0 <= x <= 2 * reach and sums >> x & 1)
+    take = list(take)
     for i, n, earlier in reversed(steps):
         if not earlier >> at & 1:
             take[i] += n
             at -= n * sizes[i]
-    return take
+    return take, missed
 
 
-def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
+def fit_budget(sizes: list[int], counts: list[int], budget: int, span: int = SPAN, start: float = 0.5) -> list[int]:
+    """How many documents of each size to take so that their sizes sum to ``budget`` as nearly as they can.
+
+    Proportional numbers first, rounded with a remainder that is carried from size to size and begins with
+    ``start``; then the dynamic program of ``_adjusted``, reaching further until the budget is met.
+    """
+    total = sum(s * c for s, c in zip(sizes, counts, strict=True))
+    if not sizes or budget <= 0 or total <= 0:
+        return [0] * len(sizes)
+    budget = min(budget, total)
+    take, carried = [0] * len(sizes), int(start * total)
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
+        take[i], carried = divmod(carried + counts[i] * budget, total)
+    rest = budget - sum(s * t for s, t in zip(sizes, take, strict=True))
+    unit = math.gcd(*sizes)
+    least = min(budget % unit, -budget % unit)  # no sum of sizes is nearer
+    moves = sum(2 * c.bit_length() for c in counts)
+    reach = span * max(sizes)
+    out, missed = _adjusted(sizes, counts, take, rest, reach)
+    while missed > least and reach < total and moves * 8 * reach <= MOST_BITS:
+        reach *= 4
+        out, missed = _adjusted(sizes, counts, take, rest, reach)
+    return out
+
+
+def _plan(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     """The histogram of one source: how many documents of each size the part pass takes."""
     pdf = pdf.sort_values("_size")
-    take = fit_budget(pdf["_size"].tolist(), pdf["_count"].tolist(), int(pdf["_part"].iloc[0]))
+    start = random.Random(f"{seed} {pdf['_source'].iloc[0]}").random()
+    take = fit_budget(pdf["_size"].tolist(), pdf["_count"].tolist(), int(pdf["_part"].iloc[0]), start=start)
     return pdf.assign(_take=take)[["_source", "_size", "_count", "_passes", "_take"]]
 
 
-def plans(sizes: DataFrame, target: DataFrame) -> DataFrame:
+def plans(sizes: DataFrame, target: DataFrame, seed: int = SEED) -> DataFrame:
     """_source, _size, _count, _passes, _take: per size the whole passes and the documents of the part pass."""
     counts = sizes.groupBy("_source", "_size").agg(F.count("*").alias("_count"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
     t = target.withColumn("_passes", passes.cast("int")).withColumn("_part", F.round(F.col("target") - F.col("_passes") * F.col("source_size")).cast("long"))
     counts = counts.join(t.select(F.col("_source").alias("_s"), "_passes", "_part"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    return counts.groupBy("_source").applyInPandas(_plan, "_source string, _size long, _count long, _passes int, _take long")
+    return counts.groupBy("_source").applyInPandas(lambda pdf: _plan(pdf, seed), "_source string, _size long, _count long, _passes int, _take long")
 
 
 def taken_of(sizes: DataFrame, plan: DataFrame, slice_rows: int = SLICE) -> DataFrame:
@@ -146,7 +164,7 @@ def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
     sizes = written(measured(docs, seed), "mix-sizes")
     target = written(targets(sizes, weights, most), "mix-targets")
-    plan = written(plans(sizes, target), "mix-plan")
+    plan = written(plans(sizes, target, seed), "mix-plan")
     return taken_of(sizes, plan).join(target.withColumnRenamed("_source", "_t"), F.col("_source").eqNullSafe(F.col("_t")))
 
 

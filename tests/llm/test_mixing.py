@@ -94,3 +94,14 @@ def test_empty_tables(spark):
     assert M.mix(frame(spark, [])).count() == 0 and M.mixed_documents(frame(spark, [])).count() == 0
     blank = M.mix(frame(spark, [(1, None), (2, "")])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in blank] == [(0, 0.0, 0)] * 2
+
+
+@pytest.mark.parametrize("most", [60, 400, 2000])
+@pytest.mark.parametrize("start", [0.0, 0.5, 0.9])
+def test_part_pass_takes_its_share_of_small_and_large_sizes(most, start):
+    sizes = list(range(1, most + 1))
+    budget = sum(sizes) * 53 // 100
+    take = M.fit_budget(sizes, [1] * most, budget, start=start)
+    assert sum(s * t for s, t in zip(sizes, take, strict=True)) == budget
+    fifths = [take[k * most // 5 : (k + 1) * most // 5] for k in range(5)]
+    assert all(abs(sum(x) - 0.53 * len(x)) <= 4 for x in fifths)
