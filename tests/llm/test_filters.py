@@ -182,3 +182,15 @@ def test_purity_reaches_pages_that_no_rule_judges(spark):
     assert all(r["verdict"] == "allow" for u, r in got.items() if "good.net/fr" in u or "few.net/fr" in u)
     assert all(r["rule"] is None and r["verdict"] == "block" for u, r in got.items() if "bad.net/fr" in u)
     assert got["http://bad.net/fr/1"]["purity"] == pytest.approx((60 + 2 * 81 / 106) / (64 + 2))
+
+
+def test_deep_paths_and_repeated_slugs(spark):
+    from pyspark.sql import functions as F
+
+    deep = "http://d.org/a/b/c/d/e/f/"
+    urls = [f"{deep}bad/{k}" for k in range(20)] + [f"{deep}good/{k}" for k in range(20)] + [f"http://s.org/news/item{k // 2}-x" for k in range(60)] + ["http://d.org/q/" + "r/" * 300]
+    df = pages(spark, urls).withColumn("known", F.when(F.col("url").contains("/bad/"), 1).when(F.col("url").contains("/good/"), 0))
+    got = [(urls[r["page_id"]], r) for r in U.url_filter(df, [], F.col("known")).collect()]
+    assert len(got) == len(urls) and all((r["verdict"] == "block") == ("/bad/" in u) for u, r in got)
+    assert {r["template"] for u, r in got if "s.org" in u} == {"/news/*"}
+    assert {r["template"] for u, r in got if "/q/" in u} == {"/q" + "/r" * 300}
