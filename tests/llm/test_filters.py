@@ -42,15 +42,49 @@ def test_thresholds_adapt_to_language_and_source(spark):
     assert not out[999] and all(v for k, v in out.items() if k != 999)
 
 
+def rated(spark, rows):
+    """rows: (lang, source, word_length, symbols, dup_lines, repeats)."""
+    whole = [(g, s, float(w), float(x), float(d), float(r), False) for g, s, w, x, d, r in rows]
+    names = "lang string, source string, word_length double, symbols double, dup_lines double, repeats double, base_failed boolean"
+    return spark.createDataFrame(whole, names)
+
+
 def test_sketch_merges_and_is_near_the_quantile(spark):
     rng = np.random.default_rng(0)
     values = rng.lognormal(1.5, 0.4, 4000)
-    df = spark.createDataFrame([(float(v), 0.0, 0.0, 0.0, "l", "s", False) for v in values], "word_length double, symbols double, dup_lines double, repeats double, lang string, source string, base_failed boolean")
+    df = rated(spark, [("l", "s", v, 0, 0, 0) for v in values])
     whole, parts = (sorted(map(tuple, R.sketches(x).collect()), key=str) for x in (df.coalesce(1), df.repartition(7)))
     assert whole == parts
-    row = R.limits(R.sketches(df)).filter("level = 0 and rate = 'word_length'").first()
+    row = R.thresholds(df).filter("rate = 'word_length'").first()
     q1, q3 = np.quantile(values, [0.25, 0.75])
-    assert row["high"] == pytest.approx(q3 + R.FENCE * (q3 - q1), rel=0.1)
+    assert row["high"] == pytest.approx(q3 + R.FENCE * (q3 - q1), rel=0.1) and row["low"] == pytest.approx(q1 - R.FENCE * (q3 - q1), abs=0.5)
+
+
+def test_every_limit_follows_its_source(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for source, scale in (("plain", 1), ("code", 3)):
+        rows += [("l", source, 5 + rng.normal() / 4 + scale, *(scale * rng.uniform(0, 0.02 * (k + 1)) for k in range(3))) for _ in range(400)]
+    found = {(r["source"], r["rate"]): r["high"] for r in R.thresholds(rated(spark, rows), prior=0).collect()}
+    for k, name in enumerate(R.TAIL):
+        own, other = found["plain", name], found["code", name]
+        assert other > 2 * own and own == pytest.approx(0.02 * (k + 1) * (0.98 + R.FENCE * 0.48), rel=0.1)
+
+
+def test_junk_does_not_set_its_own_limit_and_small_groups_pass_smoothly(spark):
+    rows = [("l", "s", 5 + (k % 9) / 10, 0, 0, 0) for k in range(400)] + [("l", "s", 9.0, 0.3, 0, 0)] * 60
+    assert R.thresholds(rated(spark, rows)).filter("rate = 'symbols'").first()["high"] == 0
+    for n in (1, 5, 19, 20, 49, 50, 51):  # a rare language with long words keeps its documents at every size
+        rare = [("rare", "x", 50 + k % 3, 0, 0, 0) for k in range(n)]
+        row = R.thresholds(rated(spark, rows + rare)).filter("lang = 'rare' and rate = 'word_length'").first()
+        assert row["low"] < 50 and row["high"] > 52
+
+
+def test_rules_take_repeated_rows_and_long_texts(spark):
+    long = " ".join(f"word{k % 9973}x{k}" for k in range(20_000))
+    rows = [(1, long), (1, long), (2, "# " * 500 + long), (None, None), (3, "")] + [(10 + k, " ".join(f"w{k}x{j}" for j in range(60))) for k in range(30)]
+    out = R.quality_rules(clashing(frame(spark, [(*r, None, None, None) for r in rows])))
+    assert out.count() == len(rows) and len({r["kept"] for r in out.collect() if r["doc_id"] == 1}) == 1
 
 
 def test_rules_tell_labelled_documents_apart(spark, sf):
