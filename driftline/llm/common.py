@@ -34,6 +34,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)
 
 
+def identified(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` as a struct ``_doc`` beside ``_file`` and ``_place``, which tell its rows apart however often they are read.
+
+    A table read from files is identified by the place of each row in them. Anything else may come out in
+    another order the next time, so it is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs, name)
+    place = docs.metadataColumn("_metadata")
+    return docs.select(F.xxhash64(place["file_path"]).alias("_file"), place["row_index"].alias("_place"), F.struct("*").alias("_doc"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once, also where ``body`` uses it inside other lambdas."""
     return F.get(F.transform(F.array(value), body), 0)
