@@ -2,22 +2,29 @@
 
 All rolling word 4-grams of a document are hashed and joined to the places where the same hash stands in
 a license template. A hit votes for its diagonal, document place minus template place. Votes are summed
-per document, template and diagonal; neighbouring diagonals (words inserted or left out) are merged; the
-span that a merged group covers is verified word by word against the template. A template is found when
-enough of its words stand in place.
+per document, template and diagonal. A document's diagonals of one template are put in order, and where one
+follows another by ``GAP`` or less (words inserted or left out) they are one group. The span that a group
+covers is verified: the template's words are looked for one after another, each behind the last one found
+and on a diagonal of the group. A template is found when enough of its words stand like this.
 
-The join has two steps: within the row the hashes meet the set of all template hashes, and only those
-that are in it are exploded and joined to the template places. So the rows that are shuffled are hits,
-and those of one document are combined before the shuffle.
+The join has two steps: within the row the hashes meet the set of all template hashes (a semi-join whose
+smaller side is a literal), and only those that are in it are exploded and joined to the template places. So
+the rows that are shuffled are hits, and those of one document are combined before the shuffle. Work and
+memory grow with the number of hits and the words: diagonals are grouped in a window over sorted narrow rows,
+and the spans of a document are verified beside its words, which are not copied.
+
+Templates with fewer words than a hash takes are hashed whole; ones without words are never found. Up to
+``MOST_HASHES`` hashes of templates are a literal and a broadcast; beyond, all hashes are joined by shuffle.
 
 Defined results: a null text is empty, has no words, a score of 0, empty label strings and null places.
-Repeated rows are judged each on its own (rows carry an id of their own). A null ``doc_id`` is passed on.
-An empty table gives an empty result. Other columns are not read.
+Very long texts are scanned whole, with their words in one row's memory. Repeated rows are judged each on
+its own (rows carry an id of their own). Spans that begin and end alike are ordered by label, then cover.
+A null ``doc_id`` is passed on. An empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import ascii_lower, let, table, text_of, written
@@ -42,6 +49,8 @@ TEMPLATES = [
 K = 4
 #: Diagonals at most so far apart are merged.
 GAP = 3
+#: Hashes of templates that are held as a literal and broadcast.
+MOST_HASHES = 100_000
 #: Share of a template's words that must stand in place.
 LEAST_COVER = 0.7
 
@@ -57,10 +66,11 @@ def grams(words: Column, k: int = K) -> Column:
 
 
 def template_places(spark: SparkSession, templates: list[tuple[str, str]], k: int = K) -> DataFrame:
-    """One row per template and place: _template, _label, _length, _words, _at, _hash. As large as the templates are."""
+    """One row per template and place: _template, _label, _length, _gram, _words, _at, _hash. As large as the templates are."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "_template int, _label string, text string")
-    rows = rows.withColumn("_words", words_of(F.col("text"))).drop("text").withColumn("_length", F.size("_words"))
-    return rows.select("_template", "_label", "_length", "_words", F.posexplode(grams(F.col("_words"), k)).alias("_at", "_hash"))
+    rows = rows.withColumn("_words", words_of(text_of())).drop("text").withColumn("_length", F.size("_words")).withColumn("_gram", F.least(F.lit(k), F.col("_length")))
+    own = F.coalesce(*(F.when(F.col("_gram") == n, grams(F.col("_words"), n)) for n in range(1, k + 1)))
+    return rows.select("_template", "_label", "_length", "_gram", "_words", F.posexplode(own).alias("_at", "_hash"))
 
 
 def _phrase_places(words: Column, phrase: str) -> Column:
@@ -77,10 +87,11 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _scanned(docs: DataFrame, hashes: list[int], k: int) -> DataFrame:
+def _scanned(docs: DataFrame, hashes: list[int] | None, lengths: list[int]) -> DataFrame:
     """One row per document: base findings, and the hits with the words of documents that have any."""
     places = lambda w: F.array(*(F.struct(F.lit(label).alias("label"), _phrase_places(w, p).alias("at")) for p, label in PHRASES.items()))
-    hits = lambda w: F.filter(F.transform(grams(w, k), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))), lambda x: x["hash"].isin(hashes))
+    known = lambda all_of: all_of if hashes is None else F.filter(all_of, lambda x: x["hash"].isin(hashes))
+    hits = lambda w: F.concat(*(known(F.transform(grams(w, n), lambda h, i: F.struct(i.alias("at"), h.alias("hash")))) for n in lengths)) if lengths else F.array().cast("array<struct<at:int,hash:bigint>>")
     found = let(words_of(text_of()), lambda w: let(hits(w), lambda h: F.struct(F.size(w).cast("long").alias("n_words"), places(w).alias("base"), h.alias("hits"), F.when(F.size(h) > 0, w).alias("words"))))
     return docs.select("doc_id", found.alias("f")).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "f.*")
 
@@ -88,36 +99,55 @@ def _scanned(docs: DataFrame, hashes: list[int], k: int) -> DataFrame:
 def diagonals(scanned: DataFrame, templates: DataFrame, gap: int = GAP) -> DataFrame:
     """Votes by document, template and diagonal, neighbouring diagonals merged: one row per merged group."""
     hits = scanned.filter(F.size("hits") > 0).select("_row", F.explode("hits").alias("h")).select("_row", F.col("h.at").alias("_place"), F.col("h.hash").alias("_hash"))
-    votes = hits.join(F.broadcast(templates.drop("_words")), "_hash")  # templates are a parameter of fixed size
-    votes = votes.groupBy("_row", "_template", "_label", "_length", (F.col("_place") - F.col("_at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("_place").alias("first"), F.max("_place").alias("last"))
-    # a document's diagonals of one template, merged in one pass over the sorted list
-    listed = votes.groupBy("_row", "_template", "_label", "_length").agg(F.sort_array(F.collect_list(F.struct("diagonal", "votes", "first", "last"))).alias("d"))
-    group = listed.select("_row", "_template", "_label", "_length", F.explode("d").alias("v"), "d").withColumn("low", F.array_max(F.filter(F.transform("d", lambda x, i: F.when((i == 0) | (x["diagonal"] - F.get(F.col("d"), i - 1)["diagonal"] > gap), x["diagonal"])), lambda x: x <= F.col("v.diagonal"))))
-    return group.groupBy("_row", "_template", "_label", "_length", "low").agg(F.max("v.diagonal").alias("high"), F.sum("v.votes").alias("votes"), F.min("v.first").alias("first"), F.max("v.last").alias("last"))
-
-
-def verified(merged: DataFrame, scanned: DataFrame, templates: DataFrame, k: int = K) -> DataFrame:
-    """Spans with the share of the template's words that stand in place on one of the merged diagonals."""
-    texts = templates.groupBy("_template").agg(F.first("_words").alias("_words"))
-    spans = merged.join(F.broadcast(texts), "_template").join(scanned.filter(F.size("hits") > 0).select("_row", "words"), "_row")
-    near = lambda i: F.sequence(i + F.col("low"), i + F.col("high"))
-    stands = lambda x, i: F.exists(near(i), lambda p: (p >= F.col("first")) & (p < F.col("last") + k) & F.coalesce(F.get(F.col("words"), p.cast("int")) == x, F.lit(False)))
-    cover = F.size(F.filter(F.transform("_words", stands), lambda x: x)) / F.col("_length")
-    return spans.select("_row", "_template", "_label", "votes", F.col("first").alias("start"), (F.col("last") + k).alias("end"), cover.alias("cover"))
+    votes = hits.join(templates, "_hash")
+    votes = votes.groupBy("_row", "_template", "_label", "_gram", (F.col("_place") - F.col("_at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("_place").alias("first"), F.max("_place").alias("last"))
+    in_order = Window.partitionBy("_row", "_template").orderBy("diagonal")
+    new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(in_order) > gap, F.lit(True))
+    votes = votes.withColumn("_new", new.cast("long")).withColumn("_group", F.sum("_new").over(in_order))
+    return votes.groupBy("_row", "_template", "_label", "_gram", "_group").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def _in_place(template: Column, words: Column, span: Column) -> Column:
+    """How many words of the template stand in order: each is looked for behind the last one found, on the diagonals of the span."""
+    state = lambda i, at, n: F.struct(i.alias("i"), at.cast("int").alias("at"), n.alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        low = F.greatest(a["at"], a["i"] + span["low"], span["first"])
+        high = F.least(a["i"] + span["high"], span["end"] - 1)
+        # array_position finds the first one
+        found = F.when(low <= high, F.array_position(F.slice(words, low + 1, F.greatest(high - low + 1, F.lit(0))), x)).otherwise(F.lit(0))
+        hit = found > 0
+        return state(a["i"] + 1, F.when(hit, low + found.cast("int")).otherwise(a["at"]), a["n"] + hit.cast("int"))
+
+    return F.aggregate(template, state(F.lit(0), F.lit(0), F.lit(0)), step)["n"]
+
+
+def verified(merged: DataFrame, scanned: DataFrame, templates: DataFrame) -> DataFrame:
+    """_row and ``spans``: of each document with hits all spans, with the share of the template's words that stand in place."""
+    texts = templates.filter("_at = 0").select("_template", "_words", "_length")
+    span = F.struct("_template", "_label", "votes", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"), F.col("first").cast("int").alias("first"), (F.col("last") + F.col("_gram")).cast("int").alias("end"))
+    # a template's spans in one document at a time, with the template's words once
+    listed = merged.select("_row", "_template", span.alias("s")).groupBy("_row", "_template").agg(F.collect_list("s").alias("listed"))  # as many as the document has groups
+    listed = listed.join(texts, "_template").groupBy("_row").agg(F.collect_list(F.struct("listed", "_words", "_length")).alias("by_template"))
+    both = listed.join(scanned.filter(F.size("hits") > 0).select("_row", "words"), "_row")
+    cover = lambda t, s: _in_place(t["_words"], F.col("words"), s) / t["_length"]
+    of_template = lambda t: F.transform(t["listed"], lambda s: F.struct(s["first"].alias("start"), s["end"].alias("end"), s["_label"].alias("_label"), cover(t, s).alias("cover"), s["votes"].alias("votes")))
+    return both.select("_row", F.flatten(F.transform("by_template", of_template)).alias("spans"))
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: int = K, gap: int = GAP, least_cover: float = LEAST_COVER) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
     spark = docs.sparkSession
-    places = template_places(spark, TEMPLATES if templates is None else templates, k).cache()
-    hashes = [r[0] for r in places.select("_hash").distinct().collect()]  # as many as the templates have words
-    scanned = written(_scanned(docs, hashes, k), "license-scan")
-    spans = verified(diagonals(scanned, places, gap), scanned, places, k)
-    best = spans.groupBy("_row").agg(
-        F.max("cover").alias("_score"),
-        F.sort_array(F.collect_set(F.when(F.col("cover") >= least_cover, F.col("_label")))).alias("_own"),
-        F.sort_array(F.collect_list(F.when(F.col("cover") >= least_cover, F.struct("start", "end", "_label", "cover")))).alias("spans"),
-    )
+    places = written(template_places(spark, TEMPLATES if templates is None else templates, k), "license-templates")
+    lengths = sorted(r[0] for r in places.select("_gram").distinct().collect())  # k at most
+    few = places.limit(MOST_HASHES + 1).count() <= MOST_HASHES
+    hashes = [r[0] for r in places.select("_hash").distinct().collect()] if few else None  # MOST_HASHES at most
+    scanned = written(_scanned(docs, hashes, lengths), "license-scan")
+    narrow = places.drop("_words", "_length")
+    spans = verified(diagonals(scanned, F.broadcast(narrow) if few else narrow, gap), scanned, places)
+    found = lambda c: F.filter(c, lambda x: x["cover"] >= least_cover)
+    spans = spans.select("_row", F.array_max(F.transform("spans", lambda x: x["cover"])).alias("_score"), F.transform(found("spans"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["_label"].alias("_label"), x["cover"].alias("cover"))).alias("spans"))
+    best = spans.select("_row", "_score", F.array_sort(F.array_distinct(F.transform("spans", lambda x: x["_label"]))).alias("_own"), F.array_sort("spans").alias("spans"))
     out = scanned.select("_row", "doc_id", "n_words", "base").join(best, "_row", "left")
     at = F.flatten(F.transform("base", lambda x: x["at"]))
     base = F.array_sort(F.transform(F.filter("base", lambda x: F.size(x["at"]) > 0), lambda x: x["label"]))

@@ -173,6 +173,76 @@ def test_edited_templates_are_found_and_fragments_are_not(spark):
     assert len(found[4]["spans"]) == 2
 
 
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_scan(text, templates):
+    """Labels, score and spans by lists and loops."""
+    w, score, labels, spans = plain_words(text), 0.0, set(filter(None, plain_base(text)[4].split(","))), []
+    for label, template in templates:
+        t = plain_words(template)
+        k = min(L.K, len(t))
+        votes = {}
+        for i in range(len(w) - k + 1):
+            for j in range(len(t) - k + 1):
+                if k and w[i : i + k] == t[j : j + k]:
+                    votes.setdefault(i - j, []).append(i)
+        groups = []
+        for d in sorted(votes):
+            if groups and d - groups[-1][-1] <= L.GAP:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for g in groups:
+            places = [i for d in g for i in votes[d]]
+            first, end, at, n = min(places), max(places) + k, 0, 0
+            for j, x in enumerate(t):
+                for p in range(max(at, j + g[0], first), min(j + g[-1], end - 1) + 1):
+                    if w[p] == x:
+                        at, n = p + 1, n + 1
+                        break
+            cover = n / len(t)
+            score = max(score, cover)
+            if cover >= L.LEAST_COVER:
+                labels.add(label)
+                spans.append((first, end, label, cover))
+    return ",".join(sorted(labels)), score, sorted(spans)
+
+
+SHORT = [*L.TEMPLATES, ("short", "All rights reserved"), ("one", "Unlicensed"), ("none", "!?"), ("again", "a b a b a b a c")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_equals_a_plain_scan(spark, seed):
+    rnd = random.Random(seed)
+    pieces = [t for _, t in SHORT] + ["other words stand here", "a b a b a b a b a c", "x"]
+    rows = awkward() + [(700, MIT + " " + MIT), (701, " ".join(reversed(MIT.split())))]
+    for n in range(40):
+        words = " ".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 5))).split()
+        for _ in range(rnd.randint(0, 8)):
+            at = rnd.randrange(len(words))
+            words[at : at + rnd.randint(0, 2)] = rnd.choice([[], ["new"], words[max(0, at - 3) : at]])
+            words = words or ["x"]
+        rows.append((800 + n, " ".join(words)))
+    got = L.license_scan(clashing(frame(spark, rows)), SHORT)
+    have = sorted(((r["doc_id"], r["labels"], r["score"], [tuple(x) for x in r["spans"]]) for r in got.collect()), key=str)
+    assert have == sorted(((r[0], *plain_scan(r[1], SHORT)) for r in rows), key=str)
+
+
+def test_many_hashes_are_joined_by_shuffle(spark, monkeypatch):
+    rows = [(1, MIT), (2, "x " + MIT + " y MIT License"), (3, None)]
+    want = collected(L.license_scan(frame(spark, rows)), "doc_id", "labels", "score", "spans")
+    monkeypatch.setattr(L, "MOST_HASHES", 3)
+    assert collected(L.license_scan(frame(spark, rows)), "doc_id", "labels", "score", "spans") == want
+
+
+def test_a_long_text_of_notices(spark):
+    n = 20_000
+    got = L.license_scan(frame(spark, [(1, "Released under the MIT License " * n)])).first()
+    assert got["n_words"] == 5 * n and got["n_base"] == n and got["score"] == 1 and len(got["spans"]) == n
+
+
 # --- url filter
 
 URLS = ["http://a.example.com/en/1?x", "HTTP://A.Example.COM/en/7/x#y", "https://com/en/", "https://xcom/en/", "http://b.example.net/de/8", "http://b.example.net/de/9", "no scheme", None, "", "x://", "x://h", "x://h?q/en/", "http://q.org/es/é", "http://q.org/ES/", "http://a.com/en", "://com/en/x"]
