@@ -16,11 +16,15 @@ Skew: within a batch of documents a task keeps, of equal runs, only the earliest
 the others on as repeats with keys dealt evenly. So a passage that a third of all documents share costs
 each batch one row per anchor. The reducing side is a stream over sorted rows that remembers one row.
 
-Digests have 128 bits (anchor and run, or two window hashes). Documents are ordered by doc_id, a null one
-last. Defined results: a null text has no words; its digest is that of the empty text. Rows that repeat
-one doc_id are one document: at equal starts neither is earlier, so identical rows get identical results.
-Texts with fewer words than a window are kept whole. An empty table gives an empty result. Other columns
-are not read.
+Digests have 128 bits (anchor and run, or two window hashes), so words are compared by digests. Pairs of runs are
+not listed: of a frequent anchor that stands in many contexts they would be as many as its square.
+
+Documents are ordered by doc_id, a null one last, and told apart by (doc_id, 64 bits of a hash of the text) with
+a seed for which no two different texts of one doc_id agree in it. Defined results: a null text has no words;
+its digest is that of the empty text. Rows that repeat one doc_id are one document: at equal starts neither
+is earlier, so identical rows get identical results, and are worked off once in a batch. Texts with fewer words
+than a window are kept whole. Very long texts are worked off whole, in the memory of one batch. An empty table
+gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -49,8 +53,7 @@ LAST = (1 << 63) - 1
 _WORDS = re.compile("[^ \t-\r]+").findall
 _BASE = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)  # odd, so they have inverses
 _INVERSE = np.array([pow(int(b), -1, 1 << 64) for b in _BASE], np.uint64)
-# A run row's last field: start << 36 | text hash << 8 | flag << 7 | windows - 1
-_HASH_BITS, _MOST_START = 28, 1 << 27
+# A run row's last field: start << 8 | flag << 7 | windows - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,8 +72,6 @@ class Flat:
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         n = int(self.sizes.sum())
-        if n and int(self.sizes.max()) >= _MOST_START:
-            raise ValueError(f"a text has more than {_MOST_START} words")
         self.word = np.fromiter((xxh64_intdigest(w) for ws in words for w in ws), np.uint64, n)
         self.text = np.repeat(np.arange(len(texts)), self.sizes)
         self.sums = []
@@ -110,21 +111,21 @@ def runs(flat: Flat, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, ...]
     return first, count, gram[anchor[cut]], digest
 
 
-def _combined(key: np.ndarray, digest: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
+def _combined(key: np.ndarray, digest: np.ndarray, doc: np.ndarray, text: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
     """Rows for the shuffle: of equal runs all but the earliest are flagged as repeats and dealt evenly."""
-    order = np.lexsort((pack, doc, digest, key))
-    key, digest, doc, pack = key[order], digest[order], doc[order], pack[order]
+    order = np.lexsort((text, pack, doc, digest, key))
+    key, digest, doc, text, pack = key[order], digest[order], doc[order], text[order], pack[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])]
     lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    later = (doc != doc[lead]) | (pack >> 36 != pack[lead] >> 36)
-    again = ~later & ~new & (pack == pack[lead])  # the same row once more
+    later = (doc != doc[lead]) | (pack >> 8 != pack[lead] >> 8)
+    again = np.r_[False, ~new[1:] & (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (pack[1:] == pack[:-1])]  # the same row once more
     key = np.where(later, _mix(doc.astype(np.uint64) ^ pack.astype(np.uint64)), key)
     pack = np.where(later, pack | 128, pack)
-    columns = [x[~again].view(np.int64) for x in (key, digest, doc, pack)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "digest", "doc", "pack"])
+    columns = [x[~again].view(np.int64) for x in (key, digest, doc, text, pack)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "digest", "doc", "hash", "pack"])
 
 
-_ROW = "key long, digest long, doc long, pack long"
+_ROW = "key long, digest long, doc long, hash long, pack long"
 
 
 def _chunks(columns: list[list], texts: int) -> Iterator[list[list]]:
@@ -147,8 +148,8 @@ def seed_rows(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
                 flat = Flat(texts)
                 first, count, anchor, digest = runs(flat, window, k)
                 t = flat.text[first]
-                pack = (first - flat.starts[t]) << 36 | np.array(hashed, np.int64)[t] << 8 | (count - 1)
-                yield _combined(anchor, digest, np.array(doc, np.int64)[t], pack)
+                pack = (first - flat.starts[t]) << 8 | (count - 1)
+                yield _combined(anchor, digest, np.array(doc, np.int64)[t], np.array(hashed, np.int64)[t], pack)
 
     return docs.mapInArrow(run, _ROW)
 
@@ -163,30 +164,29 @@ def window_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 pack = np.array([p for ps in packs for p in ps], np.int64)
                 t = np.repeat(np.arange(len(packs)), [len(ps) for ps in packs])
                 count = (pack & 127) + 1
-                at = np.repeat(pack >> 36, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                at = np.repeat(pack >> 8, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 t = np.repeat(t, count)
                 place = flat.starts[t] + at
-                out = at << 36 | np.array(hashed, np.int64)[t] << 8
-                yield _combined(flat.stretch(place, place + window, 0), flat.stretch(place, place + window, 1), np.array(doc, np.int64)[t], out)
+                yield _combined(flat.stretch(place, place + window, 0), flat.stretch(place, place + window, 1), np.array(doc, np.int64)[t], np.array(hashed, np.int64)[t], at << 8)
 
     return docs.mapInArrow(run, _ROW)
 
 
 def settle(rows: DataFrame) -> DataFrame:
-    """``doc``, ``pack``, ``repeat``: repeats (true), and earliest runs of anchors with several digests (false)."""
+    """``doc``, ``hash``, ``pack``, ``repeat``: repeats (true), and earliest runs of anchors with several digests (false)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4  # the earliest run of the last digest, with ties
+        held = [np.zeros(0, np.int64)] * 5  # the earliest run of the last digest, with ties
         told = False  # it has been given out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, digest, doc, pack = (np.r_[a, c.to_numpy(zero_copy_only=False)] for a, c in zip(held, batch.columns, strict=True))
+            key, digest, doc, text, pack = (np.r_[a, c.to_numpy(zero_copy_only=False)] for a, c in zip(held, batch.columns, strict=True))
             passed = (pack & 128) > 0  # flagged by the map side
             new = np.r_[True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])] | passed
             new[1:] |= passed[:-1]
             lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            later = passed | (doc != doc[lead]) | (pack >> 36 != pack[lead] >> 36)
+            later = passed | (doc != doc[lead]) | (pack >> 8 != pack[lead] >> 8)
             group = np.cumsum(new) - 1
             heads = np.flatnonzero(new)
             alike = (key[heads][1:] == key[heads][:-1]) & ~passed[heads][1:] & ~passed[heads][:-1]
@@ -197,53 +197,55 @@ def settle(rows: DataFrame) -> DataFrame:
                 given[: len(held[0])] = False
             ahead = np.flatnonzero(given)
             whole = np.flatnonzero(later)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[doc[whole], doc[ahead]]), pa.array(np.r_[pack[whole], pack[ahead]]), pa.array(np.r_[np.ones(len(whole), bool), np.zeros(len(ahead), bool)])], ["doc", "pack", "repeat"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[doc[whole], doc[ahead]]), pa.array(np.r_[text[whole], text[ahead]]), pa.array(np.r_[pack[whole], pack[ahead]]), pa.array(np.r_[np.ones(len(whole), bool), np.zeros(len(ahead), bool)])], ["doc", "hash", "pack", "repeat"])
             end = heads[-1]
             told = bool(several[-1]) or (end == 0 and told)
             first = end + np.flatnonzero(~later[end:])
-            held = [x[first] for x in (key, digest, doc, pack)]
+            held = [x[first] for x in (key, digest, doc, text, pack)]
             if passed[end]:
-                held, told = [np.zeros(0, np.int64)] * 4, False
+                held, told = [np.zeros(0, np.int64)] * 5, False
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "digest", "doc", "pack")
-    return rows.mapInArrow(run, "doc long, pack long, repeat boolean")
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "digest", "doc", "pack", "hash")
+    return rows.mapInArrow(run, "doc long, hash long, pack long, repeat boolean")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = text_of()
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.shiftrightunsigned(F.xxhash64(text), 64 - _HASH_BITS).alias("hash"), text.alias("text"))
+def keyed(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """``doc``, ``hash``, ``text``: the hash tells different texts of one doc_id apart; fewer bits only to provoke collisions in tests."""
+    text, doc = text_of(), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    for seed in range(64):
+        out = docs.select(doc.alias("doc"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), text), 64 - bits).alias("hash"), text.alias("text"))
+        # a second hash shows where two texts agree in the first
+        alike = out.select("doc", "hash", F.crc32("text").alias("other"), F.length("text").alias("n")).groupBy("doc", "hash").agg(F.min(F.struct("other", "n")).alias("a"), F.max(F.struct("other", "n")).alias("b"))
+        if alike.filter("a <> b").isEmpty():
+            return out
+    raise ValueError("texts of one doc_id have equal hashes with every seed")
 
 
 def _by_document(found: DataFrame) -> DataFrame:
     """The packs of each document in one row: as many as it has runs, or single windows where runs part."""
-    return found.groupBy("doc", F.expr(f"shiftright(pack, 8) & {(1 << _HASH_BITS) - 1}").alias("hash")).agg(F.collect_list("pack").alias("packs"))
+    return found.groupBy("doc", "hash").agg(F.collect_list("pack").alias("packs"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """``doc``, ``hash``, ``packs``: the repeated windows of each document that has any, as stretches of starts."""
-    keyed = _keyed(docs)
-    seeds = written(settle(seed_rows(keyed, window, k)), "substring-seeds")
-    ends = keyed.join(_by_document(seeds.filter("not repeat")), ["doc", "hash"]).select("doc", "hash", "text", "packs")
+def repeats(rows: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """``doc``, ``hash``, ``packs``: the repeated windows of each document of ``rows(doc, hash, text)`` that has any, as stretches of starts."""
+    seeds = written(settle(seed_rows(rows, window, k)), "substring-seeds")
+    ends = rows.join(_by_document(seeds.filter("not repeat")), ["doc", "hash"]).select("doc", "hash", "text", "packs")
     singles = written(settle(window_rows(ends, window)).filter("repeat"), "substring-windows")
-    return _by_document(seeds.filter("repeat").select("doc", "pack").union(singles.select("doc", "pack")))
+    return _by_document(seeds.filter("repeat").drop("repeat").union(singles.drop("repeat")))
 
 
 def removed_mask(n: int, packs: list[int], window: int = WINDOW) -> np.ndarray:
     """Which of ``n`` words the repeated windows cover."""
     pack = np.array(packs, np.int64)
-    first = pack >> 36
+    first = pack >> 8
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, first, 1)
     np.add.at(change, first + (pack & 127) + window, -1)
     return np.cumsum(change[:n]) > 0
 
 
-def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return _keyed(docs).join(found, ["doc", "hash"], "left")
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document, and ``kept_text``: its kept words joined by spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +266,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
             columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([pc.if_else(pc.equal(doc, LAST), pa.scalar(None, pa.int64()), doc), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return _kept(docs, repeats(docs, window, k)).select("doc", "text", "packs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    rows = keyed(docs, bits)
+    return rows.join(repeats(rows, window, k), ["doc", "hash"], "left").select("doc", "text", "packs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

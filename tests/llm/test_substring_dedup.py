@@ -64,5 +64,20 @@ def test_small_batches_give_the_same(spark):
     assert got == plain(rows, 20)
 
 
+def test_equal_hashes_of_texts_are_told_apart(spark):
+    shared = " ".join(map(str, range(30)))
+    rows = [(None, shared + " a"), (None, "b " + shared), (None, None), (3, shared), (3, "c " + shared), (3, "c " + shared)]
+    for bits in (2, 3, 64):  # with two bits most seeds let texts of one id collide
+        assert collected(S.substring_dedup(frame(spark, rows), bits=bits), "doc_id", "n_words", "n_removed", "kept_sha256") == plain(rows, 20)
+    with pytest.raises(ValueError, match="equal hashes"):
+        S.keyed(frame(spark, [(None, str(k)) for k in range(9)]), 2)
+
+
+def test_ids_repeated_very_often(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(None, f"{passage} x{k}") for k in range(300)] + [(None, passage)] * 50 + [(9, f"y {passage}")] * 30
+    assert collected(S.substring_dedup(frame(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == plain(rows, 20)
+
+
 def test_empty_table(spark):
     assert S.substring_dedup(frame(spark, [])).count() == 0
