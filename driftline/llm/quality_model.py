@@ -2,16 +2,19 @@
 
 Documents get a strength, a linear function of features of their text. Pairs of a good and a bad labelled
 document are preferences; the weights minimise the logistic loss on the feature differences, with a ridge
-term, by Newton steps. The strength becomes a score from 0 to 1 whose cut of ``CUT`` lies at a quantile of
-the strengths of the labelled documents: the quantile that tells their classes apart best.
+term, by Newton steps. The strength becomes a score from 0 to 1 that is ``CUT`` at a quantile of the strengths
+of all documents: the share of bad ones among the labelled documents that may be learnt from. That share is
+known up to two standard errors, and within them the widest gap of the strengths is taken, as no document
+stands there. The strengths are counted in a histogram, which merges exactly and has a bounded number of bins.
 
-The fit uses a bounded sample, ``SAMPLE`` labelled rows of each class at most, the first by a hash of the
-id; scoring covers every whole text of all documents, each by itself, without a shuffle.
+The weights use a bounded sample, ``SAMPLE`` labelled documents of each class at most, the first by a hash of the
+id, one text of each id; the cut and the scores cover every whole text of all documents. Texts are read once.
 
 Defined results: a null text is the empty text, and empty texts are scored by their features like any
-other. A null ``doc_id`` is not held out and has no labels. Repeated rows get equal scores. Labels that
-are null are not used; several labels of one id count each. Without labels of both classes all weights
-are 0 and all scores 0.5. An empty table gives an empty result. Other columns are not read.
+other; very long texts are scored whole. A null ``doc_id`` is not held out and has no labels. Repeated rows get equal scores. Labels that
+are null are not used; an id with both labels counts for both, and of several texts of one id the first in
+order is learnt from. Ties: a strength at the cut itself is good. Without labels of both classes all weights are 0 and all scores 0.5.
+An empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table
+from driftline.llm.common import table, written
 
 #: Labelled rows of each class that the fit reads at most, pairs per bad document, ridge term.
 SAMPLE = 6000
@@ -35,6 +38,9 @@ RIDGE = 1e-3
 #: Fixed value: documents with this score or more are predicted good.
 CUT = 0.3
 FOLDS = 5
+#: Bins of strength in half a standard deviation, and how far they reach, in the same unit.
+BINS = 64
+REACH = 60
 
 FEATURES = ("log_words", "word_length", "long_words", "distinct", "top_word", "distinct_3", "upper", "digits", "symbols", "exclaim", "stops", "commas", "other_punct", "lines", "dup_lines", "non_ascii", "empty")
 
@@ -72,7 +78,7 @@ def expand(x: np.ndarray) -> np.ndarray:
 
 
 def fit(good: np.ndarray, bad: np.ndarray, seed: int = 5) -> dict[str, np.ndarray | float]:
-    """Weights from preference pairs, each bad document against ``PAIRS`` good ones; and the cut."""
+    """Weights from preference pairs, each bad document against ``PAIRS`` good ones."""
     width = 2 * len(FEATURES)
     if not len(good) or not len(bad):
         return {"mean": np.zeros(len(FEATURES)), "scale": np.ones(len(FEATURES)), "weights": np.zeros(width), "cut": 0.0, "unit": 1.0, "base": 0.0}
@@ -91,21 +97,18 @@ def fit(good: np.ndarray, bad: np.ndarray, seed: int = 5) -> dict[str, np.ndarra
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    strength = np.r_[g @ w, b @ w]
-    label = np.r_[np.ones(len(g)), np.zeros(len(b))]
-    order = np.argsort(strength, kind="stable")
-    s, y = strength[order], label[order]
-    # cutting before place k: bad ones below are right, good ones from there on are right
-    right = np.r_[0, np.cumsum(y == 0)] / len(b) + (len(g) - np.r_[0, np.cumsum(y)]) / len(g)
-    k = int(right.argmax())
-    cut = s[0] - 1e-9 if k == 0 else s[-1] + 1e-9 if k == len(s) else (s[k - 1] + s[k]) / 2
-    return {"mean": mean, "scale": scale, "weights": w, "cut": float(cut), "unit": float(max(np.std(s), 1e-6) / 2), "base": float(np.log(CUT / (1 - CUT)))}
+    spread = np.std(np.r_[g @ w, b @ w])
+    return {"mean": mean, "scale": scale, "weights": w, "unit": float(max(spread, 1e-6) / 2), "base": float(np.log(CUT / (1 - CUT)))}
+
+
+def strength(model: dict, x: np.ndarray) -> np.ndarray:
+    """Strengths of feature rows."""
+    return expand(np.clip((x - model["mean"]) / model["scale"], -6, 6)) @ model["weights"]
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
-    """Scores of feature rows; a strength at the cut scores CUT."""
-    strength = expand(np.clip((x - model["mean"]) / model["scale"], -6, 6)) @ model["weights"]
-    return 1 / (1 + np.exp(-np.clip((strength - model["cut"]) / model["unit"] + model["base"], -40, 40)))
+    """Scores of feature rows under a model with its cut; a strength at the cut scores CUT."""
+    return 1 / (1 + np.exp(-np.clip((strength(model, x) - model["cut"]) / model["unit"] + model["base"], -40, 40)))
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -114,7 +117,7 @@ def held_out(column: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The model from labelled documents that are not held out."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).distinct()
     first = [known.filter(F.col("_quality") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample) for k in (0, 1)]
     chosen = first[0].union(first[1])
 
@@ -122,34 +125,76 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["_id"].astype(str), "quality": pdf["_quality"], "x": list(feature_table(pdf["text"]))})
 
-    # 2 * sample rows at most, so the broadcast and what is collected are bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_quality", "text")
+    # 2 * sample rows at most, so the broadcast is bounded, and with one text for each id what is collected
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id", "_quality").agg(F.min("text").alias("text"))
     got = rows.mapInPandas(run, "id string, quality int, x array<double>").toPandas().sort_values(["id", "quality"], kind="stable")
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     quality = got["quality"].to_numpy()
-    return fit(x[quality == 1], x[quality == 0])
+    number = {r["_quality"]: r["count"] for r in known.groupBy("_quality").count().collect()}
+    labelled = sum(number.values())
+    return fit(x[quality == 1], x[quality == 0]) | {"share": number.get(0, 0) / max(labelled, 1), "labelled": labelled}
+
+
+def cut_of(counts: dict[int, int], share: float, labelled: int) -> float:
+    """Place of the cut, in bins: the widest gap of the histogram ``counts`` where ``share`` of it, give or take two errors, lies below.
+
+    Of equally wide gaps the one nearest to ``share`` is taken.
+    """
+    bins, total = sorted(counts), sum(counts.values())
+    if not bins:
+        return 0.0
+    reach = 2 * (share * (1 - share) / max(labelled, 1)) ** 0.5
+    below, edges = 0, []  # (outside, bins without a strength, distance, place) of each edge between bins
+    for k, at in enumerate([*bins, bins[-1] + 2]):
+        lower = bins[k - 1] + 1 if k else at - 1
+        off = abs(below / total - share)
+        edges.append((max(off - reach, 0.0), lower - at, off, (lower + at) / 2))
+        below += counts.get(at, 0)
+    return min(edges)[3]
+
+
+def with_cut(model: dict, strong: DataFrame) -> dict:
+    """``model`` with its cut, from the column ``strength`` of all documents."""
+    if "cut" in model:
+        return model
+    at = F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col("strength") / model["unit"])) * BINS)
+    counts = {int(r["at"]): r["count"] for r in strong.groupBy(at.alias("at")).count().collect()}  # 2 * REACH * BINS + 1 at most
+    return model | {"cut": cut_of(counts, model["share"], model["labelled"]) / BINS * model["unit"]}
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every document; a model without a cut gets that of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = score(model, feature_table(batch.column(2).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            s = strength(model, feature_table(batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["doc_id", "held_out", "strength"])
 
     rows = docs.select("doc_id", held_out().alias("_held"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    strong = written(rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, strength double"), "quality-strengths")
+    whole = with_cut(model, strong)
+    odds = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), (F.col("strength") - whole["cut"]) / whole["unit"] + whole["base"]))
+    return strong.select("doc_id", "held_out", (1 / (1 + F.exp(-odds))).alias("score"), _good(whole).cast("int").alias("predicted"))
+
+
+def _good(model: dict) -> Column:
+    """Whether the score is CUT or more: the strength is not below the cut."""
+    return 1 / (1 + F.exp(-((F.col("strength") - model["cut"]) / model["unit"] + model["base"]))) >= CUT
 
 
 def good_documents(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of ``docs`` that the model accepts, with all their columns; one pass, no join."""
+    """The rows of ``docs`` that the model accepts, with all their columns; without a join or a second look at the texts.
+
+    The documents are written once with their strengths, as the cut of a model without one needs all of them. Nulls, empty and
+    very long texts, repeated rows and empty tables as above; columns pass unchanged, whatever their names.
+    """
 
     @F.pandas_udf("double")
     def rate(text: pd.Series) -> pd.Series:
-        return pd.Series(score(model, feature_table(text)))
+        return pd.Series(strength(model, feature_table(text)))
 
-    return docs.filter(rate(F.col("text")) >= CUT)
+    strong = written(docs.select(rate(F.col("text")).alias("strength"), F.struct("*").alias("_doc")), "quality-docs")
+    return strong.filter(_good(with_cut(model, strong))).select("_doc.*")
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
