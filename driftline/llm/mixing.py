@@ -9,16 +9,19 @@ documents of a size are taken is decided by a seeded hash of the document.
 Scale: the program runs per source on the histogram of sizes, not on documents: its work depends on the
 largest size, as the proportional part leaves less than that. Its sums reach ``SPAN`` times that size at
 first, and further, up to ``MOST_BITS`` of memory, only while a budget is not met as nearly as it could be.
+Rows that are the same in source, doc_id and text are one entry with a count, so repeated rows are ranked as one.
 Sizes with many documents are cut into slices of the hash range, so that no window holds more than about
-``SLICE`` documents; slices that are taken whole or not at all need no ranking.
+``SLICE`` entries. Of an entry that is taken in part, the rows are numbered by their partitions.
 
 Defined results: a null text has size 0. Null sources are a source of their own, the last. Documents of
 size 0 take 0 words. Rows repeated with one ``doc_id`` are separate documents (equal hashes: either may
-be taken, never both for one place). Sources without words have target 0. Empty table: empty result.
+be taken, never both for one place). Sources without words have target 0. Very long texts are counted whole. Sources with
+equal caps per weight are ordered by name. Empty table: empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WORD, table, text_of, written
+from driftline.llm.common import WORD, identified, table, text_of, written
 
 SEED = 17
 #: No document is taken more often than this.
@@ -138,31 +141,41 @@ def plans(sizes: DataFrame, target: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def taken_of(sizes: DataFrame, plan: DataFrame, slice_rows: int = SLICE) -> DataFrame:
-    """``sizes`` with ``_times``: how often the mix takes each document. Needs _source, _size, _u."""
-    p = plan.select(F.col("_source").alias("_ps"), F.col("_size").alias("_pz"), "_count", "_passes", "_take")
-    rows = sizes.join(p, F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_size") == F.col("_pz"))).drop("_ps", "_pz")
+    """``sizes`` with ``_times``: how often the mix takes each document. Needs _source, _size, _u, _text, _row."""
+    alike = ["_source", "_size", "_u", "_text"]
+    same = lambda keys: functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"p{k}")) for k in keys))
+    p = plan.select(F.col("_source").alias("p_source"), F.col("_size").alias("p_size"), "_count", "_passes", "_take")
+    each = sizes.groupBy(*alike).agg(F.count("*").alias("_c")).join(p, same(["_source", "_size"])).drop("p_source", "p_size")
     slices = F.ceil(F.col("_count") / slice_rows)
-    rows = rows.withColumn("_slice", F.floor(F.col("_u") * slices).cast("long"))
-    large = rows.filter(F.col("_count") > slice_rows).groupBy("_source", "_size", "_take", "_slice").agg(F.count("*").alias("_n"))
+    each = written(each.withColumn("_slice", F.floor(F.col("_u") * slices).cast("long")), "mix-entries")
+    large = each.filter(F.col("_count") > slice_rows).groupBy("_source", "_size", "_slice").agg(F.sum("_c").alias("_n"), F.first("_take").alias("_t"))
     before = Window.partitionBy("_source", "_size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    large = large.withColumn("_quota", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_take") - F.coalesce(F.sum("_n").over(before), F.lit(0)))))
-    large = large.select(F.col("_source").alias("_ps"), F.col("_size").alias("_pz"), F.col("_slice").alias("_pl"), "_n", "_quota")
-    rows = rows.join(large, F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_size") == F.col("_pz")) & (F.col("_slice") == F.col("_pl")), "left")
-    quota, n = F.coalesce("_quota", "_take"), F.coalesce("_n", "_count")
-    rows = rows.withColumn("_all", F.when(quota == n, 1).when(quota == 0, 0)).withColumn("_want", quota)
-    nth = F.row_number().over(Window.partitionBy("_source", "_size", "_slice").orderBy("_u", "_row"))
-    rows = rows.withColumn("_part", F.coalesce("_all", (nth <= F.col("_want")).cast("int")))
-    return rows.withColumn("_times", F.col("_passes") + F.col("_part"))
-
-
-def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """One narrow row per document: its size, source and place in the seeded order."""
-    rows = docs.select("doc_id", F.col("source").alias("_source"), size_of(text_of()).alias("_size"), F.xxhash64(text_of()).alias("_row"))
-    return rows.withColumn("_u", unit_hash("doc_id", "_row", seed=seed))
-
-
-def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
-    sizes = written(measured(docs, seed), "mix-sizes")
+    large = large.withColumn("_quota", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_t") - F.coalesce(F.sum("_n").over(before), F.lit(0)))))
+    large = large.select(F.col("_source").alias("p_source"), F.col("_size").alias("p_size"), F.col("_slice").alias("p_slice"), "_quota")
+    each = each.join(large, same(["_source", "_size", "_slice"]), "left").withColumn("_quota", F.coalesce("_quota", "_take"))
+    ahead = Window.partitionBy("_source", "_size", "_slice").orderBy("_u", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    some = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_quota") - F.coalesce(F.sum("_c").over(ahead), F.lit(0))))
+    each = each.select(*(F.col(k).alias(f"p{k}") for k in alike), "_c", "_passes", some.alias("_some"))
+    # written, so that the join reads two plain tables, of which AQE splits an entry with very many rows
+    rows = sizes.join(written(each, "mix-taken"), same(alike)).drop(*(f"p{k}" for k in alike))
+    whole = rows.filter("_some = 0 or _some = _c").withColumn("_part", (F.col("_some") > 0).cast("int"))
+    # of an entry taken in part: the rows of a partition in order, after those of the partitions before
+    rest = rows.filter("_some > 0 and _some < _c").withColumn("_in", F.shiftright("_row", 33))
+    held = rest.groupBy(*alike, "_in").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*alike).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    held = held.select(*(F.col(k).alias(f"p{k}") for k in (*alike, "_in")), "_before")
+    nth = F.row_number().over(Window.partitionBy(*alike, "_in").orderBy("_row")) + F.col("_before")
+    rest = rest.join(held, same([*alike, "_in"])).withColumn("_part", (nth <= F.col("_some")).cast("int")).select(*whole.columns)
+    return whole.unionByName(rest).withColumn("_times", F.col("_passes") + F.col("_part"))
+
+
+def measured(docs: DataFrame, seed: int = SEED, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One narrow row per document: its size, source, place in the seeded order, a row id and columns ``carried`` along."""
+    rows = docs.select("doc_id", F.col("source").alias("_source"), size_of(text_of()).alias("_size"), F.xxhash64(text_of()).alias("_text"), *carried)
+    return rows.withColumn("_u", unit_hash("doc_id", "_text", seed=seed)).withColumn("_row", F.monotonically_increasing_id())
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    sizes = written(measured(docs, seed, carried), "mix-sizes")
     target = written(targets(sizes, weights, most), "mix-targets")
     plan = written(plans(sizes, target, seed), "mix-plan")
     return taken_of(sizes, plan).join(target.withColumnRenamed("_source", "_t"), F.col("_source").eqNullSafe(F.col("_t")))
@@ -177,17 +190,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    A document of size 0 is taken once: it adds no words. Rows that are the same in doc_id, source and text
-    share their copies evenly. Texts are shuffled once, by a key of which no value is frequent.
+    A document of size 0 is taken once: it adds no words. Documents meet the narrow rows of the mix by their places in
+    the table, each of which occurs once. Nulls, ties, very long texts, repeated rows and empty tables as above; columns
+    pass unchanged, whatever their names.
     """
-    own = lambda source, row: [F.xxhash64(source, "doc_id", row).alias("_key"), F.coalesce("doc_id", F.lit(0)).alias("_id")]
-    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_times"))
-    total = _mixed(docs, weights, most, seed).select(*own("_source", "_row"), times.alias("_times")).groupBy("_key", "_id").agg(F.sum("_times").alias("_total"), F.count("*").alias("_rows"))
-    rows = docs.select(*own("source", F.xxhash64(text_of())), F.struct("*").alias("_doc"))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_id").orderBy("_key"))).join(total, ["_key", "_id"])
-    copies = F.floor(F.col("_total") / F.col("_rows")) + (F.col("_nth") <= F.col("_total") % F.col("_rows")).cast("long")
-    rows = rows.withColumn("_copies", copies).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")
+    rows = identified(docs, "mix-docs")
+    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_times")).alias("_copies")
+    copies = _mixed(rows.select("_doc.doc_id", "_doc.source", "_doc.text", "_file", "_place"), weights, most, seed, ("_file", "_place")).select("_file", "_place", times).filter("_copies > 0")
+    return rows.join(copies, ["_file", "_place"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

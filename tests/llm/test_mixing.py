@@ -81,6 +81,19 @@ def test_hot_sizes_are_sliced_without_loss(spark):
         assert {r[0]: r[1] for r in got} == {"s": 623, "t": 60}
 
 
+def test_rows_repeated_very_often(spark):
+    rows = [(7, "a b c", "en", "s", 5)] * 400 + [(k, "a b c", "en", "s", 5) for k in range(30)] + [(k, "a b", "en", "t", 5) for k in range(100, 140)]
+    docs = frame(spark, rows)
+    sizes = M.written(M.measured(docs), "t")
+    plan = spark.createDataFrame([("s", 3, 430, 1, 123), ("t", 2, 40, 2, 0)], "_source string, _size long, _count long, _passes int, _take long")
+    for n in (7, 64, 4096):
+        got = M.taken_of(sizes, plan, n)
+        assert {r[0]: r[1] for r in got.groupBy("_source").sum("_times").collect()} == {"s": 553, "t": 80} and got.count() == len(rows)
+    out = M.mixed_documents(docs).groupBy("doc_id", "text").count().collect()
+    want = M.mix(docs).groupBy("doc_id").sum("times").collect()
+    assert sorted((r["doc_id"], r["count"]) for r in out) == sorted((r[0], r[1]) for r in want if r[1])
+
+
 def test_documents_come_as_often_as_taken(spark):
     rows = awkward()
     docs = clashing(frame(spark, rows))
