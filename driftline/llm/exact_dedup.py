@@ -1,42 +1,53 @@
 """Exact deduplication by a log-structured merge index (DataFrame operations only).
 
-Each task is a memtable: it sorts the digests of its rows and flushes them as one sorted run. Over the
-runs a membership filter of fixed size is kept. Compaction merges the runs: of the rows with one digest
-the one with the longest text, then the smallest identifier, stays. A digest with several rows is a hit,
-and hits are verified on their bytes: the filter selects their texts, and the smallest and the largest
-text of a digest must be the same. Digests that fail are split by their texts.
-
-Skew: copies meet only in aggregations, which combine before the shuffle, so a group with a third of all
-rows costs each task one row; the closing join by digest holds narrow rows that AQE splits.
+The rows of the table are dealt to ``MEMTABLES`` memtables. Each is flushed as one run, sorted by digest: of its rows
+with one digest the one with the longest text, then the smallest identifier, stays, and their number. Every
+run has a filter, a bitmap of its digests. Before runs are merged, each entry of a run probes the filters of all
+other runs: one that is in none of them moves to the next level as it is, without a lookup. Compaction merges
+the others, keeping the smallest identifiers.
+
+On that level a digest with several rows is a hit. The documents probe a filter of the hits: those that are not
+in it stand alone, and only the others look up their group. Hits are verified on their bytes: the filter selects
+their texts, and the smallest and the largest text of a digest must be the same. Digests that fail are split by
+their texts.
+
+Scale: filters have a fixed size (``MEMTABLES`` times 1 MB for the runs, 4 MB for the hits), so they can be broadcast at any
+input; as they fill up at a very large one, they let more entries through to the merge, with the same result.
+Copies meet only in aggregations, which combine before the shuffle, so a group with a third of all rows costs
+each task one row; the lookup joins narrow rows with one row for each digest, which AQE splits.
 
 Defined results: a null text is the empty text. A null ``doc_id`` sorts after all others. Rows repeated
-with the same ``doc_id`` are separate rows of which one stays. An empty table gives an empty result.
-Other columns, whatever their names, are not read.
+with the same ``doc_id`` are separate rows of which one stays; among rows with equal length and id the place in the
+table decides. Very long texts are hashed whole. An empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import fresh_path, table, text_of, without_white, written
+from driftline.llm.common import identified, table, text_of, without_white, written
 
-#: Bits of one row of the filter; the value is fixed by Spark's bitmap functions.
+#: Bits of one row of a filter; the value is fixed by Spark's bitmap functions.
 ROW_BITS = 32768
+#: Runs that the table is dealt to, and rows of the filter of each.
+MEMTABLES = 8
+RUN_FILTER_ROWS = 256
+#: Rows of the filter of the hits.
+HIT_FILTER_ROWS = 1024
 
 
-def digest_of(normal: Column, digest_bits: int = 256) -> Column:
-    """SHA-256 as lower-case hex; fewer bits only to provoke collisions in tests."""
-    return F.substring(F.sha2(normal.cast("binary"), 256), 1, digest_bits // 4)
+def digested(docs: DataFrame, digest_bits: int = 256, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One narrow row per document: _digest, _sha, _chars, _id and columns ``carried`` along."""
+    sha = F.sha2(without_white(text_of()).cast("binary"), 256)  # fewer bits of it only to provoke collisions in tests
+    rows = docs.select(F.col("doc_id").alias("_id"), F.char_length(text_of()).cast("long").alias("_chars"), sha.alias("_sha"), *carried)
+    return rows.withColumn("_digest", F.substring("_sha", 1, digest_bits // 4))
 
 
-def flush_runs(docs: DataFrame, path: str, digest_bits: int = 256) -> DataFrame:
-    """Level 0: one sorted run of ``(_digest, _sha, _chars, _id, _row)`` for each task, with Parquet bloom filters."""
-    normal = without_white(text_of())
-    rows = docs.select(F.col("doc_id").alias("_id"), F.char_length(text_of()).cast("long").alias("_chars"), F.sha2(normal.cast("binary"), 256).alias("_sha"))
-    rows = rows.select(F.substring("_sha", 1, digest_bits // 4).alias("_digest"), "_sha", "_chars", "_id", F.monotonically_increasing_id().alias("_row"))
-    rows.sortWithinPartitions("_digest").write.option("parquet.bloom.filter.enabled#_digest", "true").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+def memtables(docs: DataFrame, digest_bits: int = 256, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``digested``, written, with ``_row`` and the memtable ``_run`` that each is in."""
+    rows = digested(docs, digest_bits, carried).withColumn("_row", F.monotonically_increasing_id())
+    return written(rows.withColumn("_run", F.pmod(F.spark_partition_id(), F.lit(MEMTABLES))), "dedup-memtables")
 
 
 def _first() -> Column:
@@ -44,10 +55,9 @@ def _first() -> Column:
     return F.struct((-F.col("_chars")).alias("a"), F.col("_id").isNull().alias("b"), F.col("_id").alias("c"), F.col("_row").alias("d"))
 
 
-def compact(runs: DataFrame, *keys: str) -> DataFrame:
-    """Merge the runs: per key the row that stays and the number of rows."""
-    groups = runs.groupBy(*keys).agg(F.min(_first()).alias("_keep"), F.count("*").alias("group_size"))
-    return groups.select(*keys, F.col("_keep.c").alias("keep_id"), F.col("_keep.d").alias("_keep_row"), "group_size")
+def flush(rows: DataFrame, *keys: str) -> DataFrame:
+    """The run of each memtable: per key the row that stays and the number of rows, sorted."""
+    return rows.groupBy("_run", *keys).agg(F.min(_first()).alias("_keep"), F.count("*").alias("_n")).sortWithinPartitions("_run", *keys)
 
 
 def _slot(digest: Column, filter_rows: int) -> tuple[Column, Column]:
@@ -56,6 +66,45 @@ def _slot(digest: Column, filter_rows: int) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(filter_rows)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(ROW_BITS))
 
 
+def _has(bits: str) -> Column:
+    """Whether the bit ``_bit`` of a filter row is set; false without the row."""
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0, F.lit(False))
+
+
+def run_filters(runs: DataFrame, filter_rows: int = RUN_FILTER_ROWS) -> DataFrame:
+    """A bitmap ``_bits0``, ``_bits1``, ... for each run, in ``filter_rows`` rows of 4 KB each at most."""
+    row, bit = _slot(F.col("_digest"), filter_rows)
+    rows = runs.select("_run", row.alias("_slot"), bit.alias("_bit"))
+    return rows.groupBy("_slot").agg(*(F.bitmap_construct_agg(F.when(F.col("_run") == r, F.col("_bit"))).alias(f"_bits{r}") for r in range(MEMTABLES)))
+
+
+def probed(runs: DataFrame, filters: DataFrame, filter_rows: int = RUN_FILTER_ROWS) -> DataFrame:
+    """``runs`` with ``_elsewhere``: the number of other runs whose filter has the digest."""
+    row, bit = _slot(F.col("_digest"), filter_rows)
+    rows = runs.withColumn("_slot", row).withColumn("_bit", bit).join(F.broadcast(filters), "_slot")  # bounded by the parameters
+    inside = F.lit(-1)  # its own run has it
+    for r in range(MEMTABLES):
+        inside = inside + _has(f"_bits{r}").cast("int")
+    return rows.select(*runs.columns, inside.alias("_elsewhere"))
+
+
+def compact(runs: DataFrame, *keys: str) -> DataFrame:
+    """Merge the runs: per key the row that stays and the number of rows."""
+    groups = runs.groupBy(*keys).agg(F.min("_keep").alias("_keep"), F.sum("_n").alias("_n"))
+    return _level(groups, *keys)
+
+
+def _level(groups: DataFrame, *keys: str) -> DataFrame:
+    return groups.select(*keys, F.col("_keep.c").alias("keep_id"), F.col("_keep.d").alias("_keep_row"), F.col("_n").alias("group_size"))
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """The next level: what other runs may have is compacted, all else moves as it is."""
+    entries = written(probed(runs, written(run_filters(runs), "dedup-filters")), "dedup-probed")
+    return compact(entries.filter("_elsewhere > 0"), "_digest").unionByName(_level(entries.filter("_elsewhere = 0"), "_digest"))
+
+
 def hit_filter(groups: DataFrame, filter_rows: int) -> DataFrame:
     """The filter over all digests with several rows: at most ``filter_rows`` rows of 4 KB, whatever the input."""
     row, bit = _slot(F.col("_digest"), filter_rows)
@@ -63,55 +112,58 @@ def hit_filter(groups: DataFrame, filter_rows: int) -> DataFrame:
     return hits.groupBy("_slot").agg(F.bitmap_construct_agg(F.col("_bit")).alias("_bits"))
 
 
-def verify_hits(docs: DataFrame, groups: DataFrame, digest_bits: int = 256, filter_rows: int = 1024) -> DataFrame:
-    """Digests of which not all texts have the same bytes.
-
-    The filter (4 MB at most by default, so it can be broadcast) keeps texts of single documents out of
-    the shuffle. Once it fills up at a very large input it lets more of them through; the result is the same.
-    """
+def _may_hit(rows: DataFrame, filters: DataFrame, filter_rows: int) -> DataFrame:
+    """``rows`` with ``_hit``: whether the filter has the digest."""
     row, bit = _slot(F.col("_digest"), filter_rows)
-    texts = docs.select(without_white(text_of()).alias("_normal")).withColumn("_digest", digest_of(F.col("_normal"), digest_bits))
-    texts = texts.withColumn("_slot", row).withColumn("_bit", bit).join(F.broadcast(hit_filter(groups, filter_rows)), "_slot")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    texts = texts.filter(F.shiftright(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")), 0) != 0)
-    same = texts.groupBy("_digest").agg(F.min("_normal").alias("_a"), F.max("_normal").alias("_b"))
+    own = rows.columns
+    rows = rows.withColumn("_slot", row).withColumn("_bit", bit).join(F.broadcast(filters), "_slot", "left")
+    return rows.select(*own, _has("_bits").alias("_hit"))
+
+
+def verify_hits(docs: DataFrame, filters: DataFrame, digest_bits: int = 256, filter_rows: int = HIT_FILTER_ROWS) -> DataFrame:
+    """Digests of which not all texts have the same bytes; the filter keeps texts of single documents out of the shuffle."""
+    texts = docs.select(without_white(text_of()).alias("_normal"))
+    texts = texts.withColumn("_digest", F.substring(F.sha2(F.col("_normal").cast("binary"), 256), 1, digest_bits // 4))
+    same = _may_hit(texts, filters, filter_rows).filter("_hit").groupBy("_digest").agg(F.min("_normal").alias("_a"), F.max("_normal").alias("_b"))
     return same.filter("_a <> _b").select("_digest")
 
 
-def exact_dedup(docs: DataFrame, digest_bits: int = 256, filter_rows: int = 1024) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    runs = flush_runs(docs, fresh_path(spark, "dedup-runs"), digest_bits)
-    groups = written(compact(runs, "_digest"), "dedup-groups")
-    clash = written(verify_hits(docs, groups, digest_bits, filter_rows), "dedup-clashes")
-    if clash.isEmpty():
-        out = runs.join(groups, "_digest")
-    else:
-        normal = without_white(text_of())
-        split = docs.select(F.col("doc_id").alias("_id"), F.char_length(text_of()).cast("long").alias("_chars"), normal.alias("_normal"), digest_of(normal, digest_bits).alias("_digest"), F.sha2(normal.cast("binary"), 256).alias("_sha"))
-        split = written(split.join(clash, "_digest", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "dedup-split")
-        whole = runs.join(clash, "_digest", "left_anti").join(groups, "_digest")
-        split = split.join(compact(split, "_digest", "_normal"), ["_digest", "_normal"])
-        out = whole.select(*(cols := ["_id", "keep_id", "group_size", "_row", "_keep_row", "_sha"])).union(split.select(*cols))
-    return out.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", (F.col("_row") == F.col("_keep_row")).alias("kept"), F.col("_sha").alias("text_sha256"))
+def exact_dedup(docs: DataFrame, digest_bits: int = 256, filter_rows: int = HIT_FILTER_ROWS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 and columns ``carried`` along."""
+    rows = memtables(docs, digest_bits, carried)
+    groups = written(merged(written(flush(rows, "_digest"), "dedup-runs")), "dedup-groups")
+    filters = written(hit_filter(groups, filter_rows), "dedup-hits")
+    clash = written(verify_hits(docs, filters, digest_bits, filter_rows), "dedup-clashes")
+    cols = ["_id", "keep_id", "group_size", "_row", "_keep_row", "_sha", *carried]
+    split = None
+    if not clash.isEmpty():
+        texts = _with_text(docs, digest_bits, carried).join(clash, "_digest", "left_semi").withColumn("_row", F.monotonically_increasing_id()).withColumn("_run", F.lit(0))
+        texts = written(texts, "dedup-split")
+        split = texts.join(compact(flush(texts, "_digest", "_normal"), "_digest", "_normal"), ["_digest", "_normal"]).select(*cols)
+        rows = rows.join(clash, "_digest", "left_anti")
+    rows = _may_hit(rows, filters, filter_rows)
+    alone = rows.filter("not _hit").select(*rows.columns, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.col("_row").alias("_keep_row"))
+    found = rows.filter("_hit").join(groups, "_digest")
+    out = alone.select(*cols).union(found.select(*cols))
+    out = out if split is None else out.union(split)
+    return out.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", (F.col("_row") == F.col("_keep_row")).alias("kept"), F.col("_sha").alias("text_sha256"), *carried)
+
+
+def _with_text(docs: DataFrame, digest_bits: int, carried: tuple[str, ...]) -> DataFrame:
+    """``digested`` with the text ``_normal`` that the digest is of."""
+    normal = docs.select("doc_id", "text", without_white(text_of()).alias("_normal"), *carried)
+    return digested(normal, digest_bits, (*carried, "_normal"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Texts meet the narrow kept rows by (doc_id, digest), of which no value is frequent; of rows that are
-    repeated whole, one stays.
+    Documents meet the narrow kept rows by their places in the table, each of which occurs once. Nulls, blank and
+    very long texts, ties, repeated rows and empty tables as above; columns pass unchanged, whatever their names.
     """
-    keep = exact_dedup(docs).filter("kept").select(_text_id("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"))
-    sha, chars = F.sha2(without_white(text_of()).cast("binary"), 256), F.char_length(text_of())
-    rows = docs.select(_text_id("doc_id").alias("_key"), sha.alias("_sha"), chars.alias("_chars"), F.struct("*").alias("_doc"))
-    best = Window.partitionBy("_key", "_sha").orderBy(F.desc("_chars"))  # by the join's columns, so texts are shuffled once
-    rows = rows.join(keep, ["_key", "_sha"], "left_semi").withColumn("_nth", F.row_number().over(best))
-    return rows.filter("_nth = 1").select("_doc.*")
-
-
-def _text_id(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+    rows = identified(docs, "dedup-docs")
+    found = exact_dedup(rows.select("_doc.doc_id", "_doc.text", "_file", "_place"), carried=("_file", "_place"))
+    return rows.join(found.filter("kept").select("_file", "_place"), ["_file", "_place"], "left_semi").select("_doc.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

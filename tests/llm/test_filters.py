@@ -110,7 +110,7 @@ def test_held_out_accuracy(spark, sf):
 
 def test_scores_need_nothing_but_the_text(spark, sf):
     docs = table(spark, sf, "documents")
-    model = Q.train(docs, table(spark, sf, "labels"))
+    model = Q.train(docs, table(spark, sf, "labels")) | {"cut": 0.25}
     rows = awkward()
     got = Q.scored(clashing(frame(spark, rows)), model)
     text = {r[0]: r[1] for r in rows if r[0] is not None}
@@ -120,6 +120,36 @@ def test_scores_need_nothing_but_the_text(spark, sf):
     assert kept.columns == clashing(frame(spark, rows)).columns and kept.count() == got.filter("predicted = 1").count()
 
 
+def test_the_cut_is_a_quantile_of_all_strengths():
+    assert Q.cut_of({}, 0.2, 10) == 0.0
+    even = dict.fromkeys(range(0, 100), 10)
+    assert Q.cut_of(even, 0.25, 10**9) == pytest.approx(25)
+    apart = {k: 10 for k in range(19)} | {k: 10 for k in range(40, 121)}  # 19 of 100 parts lie below the gap
+    assert 19 <= Q.cut_of(apart, 0.2, 400) <= 40  # the share is known to 0.04
+    assert Q.cut_of(apart, 0.2, 10**9) == pytest.approx(41)  # the share is exact
+    assert Q.cut_of({5: 7}, 0.0, 50) <= 5 and Q.cut_of({5: 7}, 1.0, 50) >= 6
+
+
+def test_one_text_of_each_labelled_id_is_learnt_from(spark):
+    rows = [(k, ("good words here " if k % 2 else "# $ % bad! ") * 30 + str(k)) for k in range(40)] + [(2, f"# copy {k}") for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] * 3, "doc_id long, quality int, toxic int")
+    seen = []
+    whole = Q.fit
+    Q.fit = lambda good, bad: seen.append((len(good), len(bad))) or whole(good, bad)
+    try:
+        model = Q.train(frame(spark, rows), labels, sample=10)
+    finally:
+        Q.fit = whole
+    assert seen == [(10, 10)] and model["share"] == pytest.approx(0.5, abs=0.1)
+    out = Q.scored(frame(spark, rows), Q.train(frame(spark, rows), labels)).collect()
+    assert len(out) == len(rows)
+
+
+def test_ties_at_the_cut_are_good(spark):
+    model = {"mean": np.zeros(len(Q.FEATURES)), "scale": np.ones(len(Q.FEATURES)), "weights": np.zeros(2 * len(Q.FEATURES)), "cut": 0.0, "unit": 1.0, "base": float(np.log(3 / 7)) + 1e-15}
+    assert {r["predicted"] for r in Q.scored(frame(spark, awkward()), model).collect()} == {1}
+
+
 def test_degenerate_labels(spark):
     docs = frame(spark, awkward())
     none = spark.createDataFrame([(1, None, 0), (None, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
