@@ -83,11 +83,11 @@ class Smoother:
     def smooth_online(self, df: DataFrame, x: str | list[str], y: str, partition_by: str | list[str], order_by: str | list[str] | None = None) -> DataFrame:
         return online.fit_online(df, _list(partition_by), _list(x), y, self.config, _list(order_by) or None)
 
-    def stream_chunks(self, df: DataFrame, key: str, x: str | list[str], y: str, order_by: str, end: str | None = None, timeout_ms: int | None = None) -> DataFrame:
-        return stateful.chunk_stream(df, key, _list(x), y, self.config, order_by, end, timeout_ms)
+    def stream_chunks(self, df: DataFrame, key: str, x: str | list[str], y: str, order_by: str, end: str | None = None, timeout_ms: int | None = None, reset: str | None = None) -> DataFrame:
+        return stateful.chunk_stream(df, key, _list(x), y, self.config, order_by, end, timeout_ms, reset)
 
-    def stream_online(self, df: DataFrame, key: str, x: str | list[str], y: str, order_by: str) -> DataFrame:
-        return stateful.online_stream(df, key, _list(x), y, self.config, order_by)
+    def stream_online(self, df: DataFrame, key: str, x: str | list[str], y: str, order_by: str, reset: str | None = None) -> DataFrame:
+        return stateful.online_stream(df, key, _list(x), y, self.config, order_by, reset)
 
 
 class SmootherBuilder:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftline.api import Smoothed, Smoother
 from driftline.config import CrossValidation, SmootherConfig
 from driftline.functions import columns as C
 from driftline.operators import chunks, grouped, online
-from driftline.operators.numeric import critical_z
-from driftline.plans import direct, surface
+from driftline.plans import direct
 from driftline.plans.padding import pad_series
 from driftline.sources.intermediate import shared_folder
 from driftline.sources.tables import brand_prices, daily_revenue, read_table, user_activity
@@ -163,9 +164,7 @@ _add(
 
 def _knn(exclude_self: bool) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        near = direct.neighbours(_series(spark, d), "user_id")
-        if exclude_self:
-            near = near.filter(F.col("d") > 0)
+        near = direct.neighbours(_series(spark, d), "user_id", exclude_self=exclude_self)
         nth = F.row_number().over(Window.partitionBy("user_id", "qx").orderBy("d", "x"))
         return near.withColumn("nth", nth.cast("long")).filter("nth <= 5").select("user_id", F.col("qx").alias("x"), "nth", F.col("x").alias("neighbour"), "d")
 
@@ -209,23 +208,23 @@ _add(
 
 
 def _plane(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted plane of price on quantity and tax, at (25, 0.04), by return flag."""
-    rows = read_table(spark, d, "lineitem", "l_returnflag", "l_quantity", "l_tax", "l_extendedprice")
-    w = C.kernel("tricube", C.distance("euclidean", [(F.col("l_quantity") - 25) / 25, (F.col("l_tax") - 0.04) / 0.04], [0.0, 0.0]) / 2)
-    a, b, y = F.col("l_quantity") - 25, (F.col("l_tax") - 0.04) * 100, F.col("l_extendedprice")
-    terms = {"s00": w, "s01": w * a, "s02": w * b, "s11": w * a * a, "s12": w * a * b, "s22": w * b * b, "t0": w * y, "t1": w * a * y, "t2": w * b * y}
-    m = rows.groupBy("l_returnflag").agg(*(F.sum(v).alias(k) for k, v in terms.items()))
-    return m.select("l_returnflag", F.round(F.expr(_PLANE), 3).alias("y_smooth"))
+    """Plane of price on quantity and tax at (25, 0.04), by return flag, through all lines weighted by their distance."""
+    rows = read_table(spark, d, "lineitem", "l_returnflag", "l_quantity", "l_tax", "l_extendedprice").select("l_returnflag", F.col("l_quantity").cast("double").alias("a"), (F.col("l_tax") * 100).cast("double").alias("b"), F.col("l_extendedprice").cast("double").alias("y"))
+    config = SmootherConfig(dimensions=2, fraction=1.0, surface_mode="direct", distance_metric="weighted", metric_weights=_PLANE_WEIGHTS)
+    asked = rows.select("l_returnflag").distinct().select("l_returnflag", F.lit(25.0).alias("a"), F.lit(4.0).alias("b"))
+    return Smoother(config).predict(rows, asked, ["a", "b"], "y", "l_returnflag").select("l_returnflag", _r("y_smooth", "y_smooth", 3))
 
 
+_PLANE_WEIGHTS = (1 / 625, 1 / 16)
 _PLANE = "(t0 * (s11 * s22 - s12 * s12) - s01 * (t1 * s22 - s12 * t2) + s02 * (t1 * s12 - s11 * t2)) / (s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02))"
 _add(
     "fit_plane_2d",
     _plane,
-    f"""WITH g AS (SELECT l_returnflag, l_quantity - 25 AS a, (l_tax - 0.04) * 100 AS b, l_extendedprice AS y, sqrt(pow((l_quantity - 25) / 25, 2) + pow((l_tax - 0.04) / 0.04, 2)) / 2 AS u FROM lineitem),
+    f"""WITH e AS (SELECT l_returnflag, l_quantity - 25 AS a, l_tax * 100 - 4 AS b, l_extendedprice AS y, sqrt(pow((l_quantity - 25) / 25, 2) + pow((l_tax * 100 - 4) / 4, 2)) AS d FROM lineitem),
+    g AS (SELECT *, d / max(d) OVER (PARTITION BY l_returnflag) AS u FROM e),
     w AS (SELECT *, {_kernel_sql('tricube', 'u')} AS w FROM g),
     m AS (SELECT l_returnflag, sum(w) AS s00, sum(w * a) AS s01, sum(w * b) AS s02, sum(w * a * a) AS s11, sum(w * a * b) AS s12, sum(w * b * b) AS s22, sum(w * y) AS t0, sum(w * a * y) AS t1, sum(w * b * y) AS t2 FROM w GROUP BY l_returnflag)
-    SELECT l_returnflag, round({_PLANE}, 3) AS y_smooth FROM m""",
+    SELECT l_returnflag, round({_PLANE}, 3) + 0.0 AS y_smooth FROM m""",
 )
 
 # --- padding -----------------------------------------------------------------------------------------
@@ -291,64 +290,39 @@ _add(
 # --- errors, intervals, diagnostics ------------------------------------------------------------------
 
 
-def _fitted(spark: SparkSession, d: str) -> DataFrame:
-    s = _series(spark, d)
-    return direct.fit_direct(s, "user_id").withColumnRenamed("qx", "x").join(s.select("user_id", "x", "y", "n"), ["user_id", "x"])
+#: One direct pass without artificial points, with all that the engine says of a fit.
+_PLAIN = {"fraction": SPAN, "iterations": 1, "surface_mode": "direct", "boundary_policy": "none"}
+_LEVEL = 0.95
+_ENGINE = SmootherConfig(**_PLAIN, confidence_level=_LEVEL, prediction_level=_LEVEL, return_diagnostics=True)
 
 
-def _hat(fitted: DataFrame) -> DataFrame:
-    r = F.col("y") - F.col("fit")
-    lever = F.col("leverage")
-    upper = F.row_number().over(Window.partitionBy("user_id").orderBy(F.abs(r)))
-    rows = fitted.withColumn("_nth", upper)
-    sums = rows.groupBy("user_id").agg(F.max("n").alias("n"), F.sum(lever).alias("trace_hat"), F.sum(lever * lever).alias("_l2"), F.sum(r * r).alias("rss"), F.max(F.when(F.col("_nth") == F.floor(F.col("n") / 2) + 1, F.abs(r))).alias("_mid"))
-    sums = sums.withColumn("delta1", F.col("n") - 2 * F.col("trace_hat") + F.col("_l2"))
-    return sums.withColumn("delta2", F.col("delta1") * F.col("delta1") / F.col("n")).withColumn("residual_scale", F.when(F.col("delta1") > 0, F.sqrt(F.col("rss") / F.col("delta1"))).otherwise(0.0)).withColumn("sigma", 1.4826 * F.col("_mid"))
+def _engine(spark: SparkSession, d: str) -> Smoothed:
+    return Smoother(_ENGINE).fit(user_activity(spark, d).drop("n"), "x", "y", "user_id")
 
 
 _HAT = f"""{_DIRECT}, o AS (SELECT *, abs(y - fit) AS r, row_number() OVER (PARTITION BY user_id ORDER BY abs(y - fit)) AS nth FROM f),
 h0 AS (SELECT user_id, max(n) AS n, sum(leverage) AS trace_hat, sum(leverage * leverage) AS l2, sum(r * r) AS rss, max(CASE WHEN nth = n // 2 + 1 THEN r END) AS mid FROM o GROUP BY user_id),
 h1 AS (SELECT *, n - 2 * trace_hat + l2 AS delta1 FROM h0), h AS (SELECT *, delta1 * delta1 / n AS delta2, CASE WHEN delta1 > 0 THEN sqrt(rss / delta1) ELSE 0.0 END AS residual_scale, 1.4826 * mid AS sigma FROM h1)"""
-_add("hat_statistics", lambda spark, d: _hat(_fitted(spark, d)).select("user_id", *(_r(c, c) for c in ("trace_hat", "delta1", "delta2", "residual_scale"))), f"{_HAT} SELECT user_id, round(trace_hat, 6) AS trace_hat, round(delta1, 6) AS delta1, round(delta2, 6) AS delta2, round(residual_scale, 6) AS residual_scale FROM h")
-_LEVEL = 0.95
-_Z = critical_z(_LEVEL)
-
-
-def _intervals(spark: SparkSession, d: str) -> DataFrame:
-    f = _fitted(spark, d)
-    h = _hat(f).select("user_id", "delta1", "delta2", "residual_scale", "sigma")
-    df = F.col("delta1") * F.col("delta1") / F.col("delta2")
-    t = F.when(df > 2, _Z * F.sqrt(df / (df - 2))).otherwise(1.5 * _Z)
-    rows = f.join(h, "user_id").withColumn("se", F.col("sigma") * F.sqrt("leverage")).withColumn("t", t)
-    wide = F.col("t") * F.sqrt(F.col("se") * F.col("se") + F.col("residual_scale") * F.col("residual_scale"))
-    half = F.col("t") * F.col("se")
-    return rows.select("user_id", "x", _r("se", "std_err"), _r(F.col("fit") - half, "conf_lower"), _r(F.col("fit") + half, "conf_upper"), _r(F.col("fit") - wide, "pred_lower"), _r(F.col("fit") + wide, "pred_upper"))
+_add("hat_statistics", lambda spark, d: _engine(spark, d).summary.select("user_id", *(_r(c, c) for c in ("trace_hat", "delta1", "delta2", "residual_scale"))), f"{_HAT} SELECT user_id, round(trace_hat, 6) AS trace_hat, round(delta1, 6) AS delta1, round(delta2, 6) AS delta2, round(residual_scale, 6) AS residual_scale FROM h")
+#: Fixed value: the usual rounded normal quantile of 95 percent.
+_Z = 1.96
 
 
 _add(
     "intervals_direct",
-    _intervals,
+    lambda spark, d: _engine(spark, d).points.select("user_id", "x", *(_r(c, c) for c in ("std_err", "conf_lower", "conf_upper", "pred_lower", "pred_upper"))),
     f"""{_HAT}, t AS (SELECT f.user_id, f.x, f.fit, sigma * sqrt(leverage) AS se, residual_scale AS sd, CASE WHEN delta1 * delta1 / delta2 > 2 THEN {_Z} * sqrt((delta1 * delta1 / delta2) / (delta1 * delta1 / delta2 - 2)) ELSE 1.5 * {_Z} END AS t FROM f JOIN h ON f.user_id = h.user_id)
     SELECT user_id, x, round(se, 6) + 0.0 AS std_err, round(fit - t * se, 6) + 0.0 AS conf_lower, round(fit + t * se, 6) + 0.0 AS conf_upper, round(fit - t * sqrt(se * se + sd * sd), 6) + 0.0 AS pred_lower, round(fit + t * sqrt(se * se + sd * sd), 6) + 0.0 AS pred_upper FROM t""",
 )
 
 
-def _diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    f = _fitted(spark, d)
-    r = F.col("y") - F.col("fit")
-    mid = f.groupBy("user_id").agg(F.median(r).alias("_m"), F.avg("y").alias("_mean"))
-    rows = f.join(mid, "user_id")
-    sums = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(r * r).alias("rss"), F.avg(F.abs(r)).alias("mae"), F.sum((F.col("y") - F.col("_mean")) * (F.col("y") - F.col("_mean"))).alias("tss"), F.median(F.abs(r - F.col("_m"))).alias("_mad"), F.sum("leverage").alias("df"))
-    sd = 1.4826 * F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(1e-12)
-    return sums.select("user_id", _r(F.sqrt(F.col("rss") / F.col("n")), "rmse"), _r("mae", "mae"), _r(C.r_squared("rss", "tss", "n"), "r_squared"), _r(sd, "residual_sd"), _r(C.aic("rss", "n", "df"), "aic", 4), _r(C.aicc("rss", "n", "df"), "aicc", 4))
-
-
 _add(
     "diagnostics",
-    _diagnostics,
-    f"""{_DIRECT}, a AS (SELECT *, y - fit AS r, avg(y) OVER (PARTITION BY user_id) AS mean FROM f), am AS (SELECT user_id, median(r) AS med FROM a GROUP BY user_id),
-    t AS (SELECT a.user_id, count(*) AS n, sum(r * r) AS rss, avg(abs(r)) AS mae, sum((y - mean) * (y - mean)) AS tss, median(abs(r - med)) AS mad, sum(leverage) AS df FROM a JOIN am ON a.user_id = am.user_id GROUP BY a.user_id)
-    SELECT user_id, round(sqrt(rss / n), 6) AS rmse, round(mae, 6) AS mae, round(1 - rss / tss, 6) + 0.0 AS r_squared, round(1.4826 * CASE WHEN mad > 0 THEN mad ELSE 1e-12 END, 6) AS residual_sd, round(n * ln(rss / n) + 2 * df, 4) AS aic, round(n * ln(rss / n) + 2 * df + 2 * df * (df + 1) / (n - df - 1), 4) AS aicc FROM t""",
+    lambda spark, d: _engine(spark, d).summary.select("user_id", *(_r(f"diagnostics.{c}", c) for c in ("rmse", "mae", "r_squared", "residual_sd", "effective_df")), *(_r(f"diagnostics.{c}", c, 4) for c in ("aic", "aicc"))),
+    f"""{_HAT}, a AS (SELECT f.*, y - fit AS r, avg(y) OVER (PARTITION BY f.user_id) AS mean, sigma * sqrt(leverage) AS se FROM f JOIN h ON f.user_id = h.user_id), am AS (SELECT user_id, median(r) AS med FROM a GROUP BY user_id),
+    ad AS (SELECT a.user_id, median(abs(r - med)) AS mad FROM a JOIN am ON a.user_id = am.user_id GROUP BY a.user_id),
+    t AS (SELECT a.user_id, count(*) AS n, sum(r * r) AS rss, avg(abs(r)) AS mae, sum((y - mean) * (y - mean)) AS tss, max(1.4826 * CASE WHEN mad > 0 THEN mad ELSE 1e-12 END) AS sd, sum(least(1.0, pow(se / (1.4826 * CASE WHEN mad > 0 THEN mad ELSE 1e-12 END), 2))) AS df FROM a JOIN ad ON a.user_id = ad.user_id GROUP BY a.user_id)
+    SELECT user_id, round(sqrt(rss / n), 6) AS rmse, round(mae, 6) AS mae, round(1 - rss / tss, 6) + 0.0 AS r_squared, round(sd, 6) AS residual_sd, round(df, 6) AS effective_df, round(n * ln(rss / n) + 2 * df, 4) AS aic, round(n * ln(rss / n) + 2 * df + 2 * df * (df + 1) / (n - df - 1), 4) AS aicc FROM t""",
 )
 
 # --- chunks and online -------------------------------------------------------------------------------
@@ -413,11 +387,8 @@ def _grouped(options: dict, digits: int = 6) -> Query:
     return query
 
 
-_add("smooth_default", _grouped({}))
-_add("smooth_quadratic", _grouped({"degree": 2, "fraction": 0.5}))
 _add("smooth_cubic_direct", _grouped({"degree": 3, "fraction": 0.6, "surface_mode": "direct"}))
 _add("smooth_quartic", _grouped({"degree": 4, "fraction": 0.7}))
-_add("smooth_huber_reflect", _grouped({"robustness_method": "huber", "scaling_method": "mar", "boundary_policy": "reflect"}))
 _add("smooth_intervals", _grouped({"surface_mode": "direct", "confidence_level": 0.95, "prediction_level": 0.95, "return_residuals": True, "return_robustness_weights": True}))
 _add("online_full", lambda spark, d: online.fit_online(user_activity(spark, d).drop("n"), ["user_id"], ["x"], "y", _ONLINE.but(update_mode="full", iterations=3)))
 
@@ -432,51 +403,54 @@ def _two_predictors(spark: SparkSession, d: str) -> DataFrame:
 _add("smooth_2d", _two_predictors)
 _CV = SmootherConfig(iterations=1, cross_validation=CrossValidation((0.3, 0.5, 0.7), 5, 7))
 _add("kfold_cv_seeded", lambda spark, d: grouped.cross_validate_groups(brand_prices(spark, d).drop("n"), ["p_brand"], ["x"], "y", _CV).select("p_brand", "fraction", _r("score", "score"), "best"))
-_add("best_fraction", lambda spark, d: grouped.fit_groups(brand_prices(spark, d).drop("n"), ["p_brand"], ["x"], "y", _CV).filter("_summary is not null").select("p_brand", "_summary.fraction_used", F.array_min("_summary.cv_scores").alias("best_cv_score")))
-_add("surface_large_series", lambda spark, d: surface.fit_surface(daily_revenue(spark, d), "x", "y", SmootherConfig(fraction=0.2)))
 
 
-def _kfold_linear(spark: SparkSession, d: str) -> DataFrame:
-    """Root mean squared error per fold, folds being consecutive stretches, of lines through each fold's other rows."""
-    s = brand_prices(spark, d).filter("n >= 5").withColumn("fold", F.least(F.floor((F.col("x") - 1) / F.floor(F.col("n") / 5)), F.lit(4)))
-    folds = s.withColumn("test", F.explode(F.array(*(F.lit(k).cast("long") for k in range(5)))))
-    lines = folds.filter("fold <> test").groupBy("p_brand", "test").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
-    e = folds.filter("fold = test").join(lines, ["p_brand", "test"]).withColumn("e", F.col("y") - F.col("a") - F.col("b") * F.col("x"))
-    return e.groupBy("p_brand", "test").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")).groupBy("p_brand").agg(_r(F.avg("rmse"), "score"))
+def _folds_sql(fractions: tuple[float, ...], folds: int | None) -> str:
+    """Scores of direct linear fits to the rows of the other folds, at all places between which the held out rows lie."""
+    fold, score = ("x - 1", "sqrt(sum(e) / count(*))") if folds is None else (f"least((x - 1) // (n // {folds}), {folds - 1})", "sqrt(avg(e))")
+    total = "SELECT p_brand, fraction, {0} AS score FROM e GROUP BY p_brand, fraction".format(score) if folds is None else f"SELECT p_brand, fraction, avg(s) AS score FROM (SELECT p_brand, fraction, test, {score} AS s FROM e GROUP BY p_brand, fraction, test) GROUP BY p_brand, fraction"
+    return f"""WITH s0 AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS x, p_retailprice AS y, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+    s AS (SELECT *, {fold} AS fold FROM s0 WHERE n >= {folds or 3}), tests AS (SELECT DISTINCT p_brand, fold AS test FROM s), f AS (SELECT unnest([{", ".join(map(str, fractions))}]) AS fraction),
+    r0 AS (SELECT s.p_brand, test, x, y, row_number() OVER (PARTITION BY s.p_brand, test ORDER BY x) AS k, count(*) OVER (PARTITION BY s.p_brand, test) AS m FROM s JOIN tests t ON s.p_brand = t.p_brand AND fold <> test),
+    r AS (SELECT r0.*, fraction, greatest(2, least(m, CAST(floor(m * fraction + 1e-5) AS BIGINT))) AS q FROM r0, f),
+    a AS (SELECT s.p_brand, test, s.x AS px, s.y AS py, (SELECT max(x) FROM r0 z WHERE z.p_brand = s.p_brand AND z.test = t.test AND z.x < s.x) AS lo, (SELECT min(x) FROM r0 z WHERE z.p_brand = s.p_brand AND z.test = t.test AND z.x > s.x) AS hi FROM s JOIN tests t ON s.p_brand = t.p_brand AND fold = test),
+    ends AS (SELECT DISTINCT p_brand, test, unnest([coalesce(lo, hi), coalesce(hi, lo)]) AS qx FROM a),
+    near AS (SELECT * FROM (SELECT e.p_brand, e.test, r.fraction, e.qx, r.x, r.y, r.q, abs(r.x - e.qx) AS d, row_number() OVER (PARTITION BY e.p_brand, e.test, r.fraction, e.qx ORDER BY abs(r.x - e.qx), r.x) AS nth FROM ends e JOIN r ON e.p_brand = r.p_brand AND e.test = r.test) WHERE nth <= q),
+    w AS (SELECT *, {_kernel_sql('tricube', '(d / reach)')} AS w FROM (SELECT *, max(d) OVER (PARTITION BY p_brand, test, fraction, qx) AS reach FROM near)),
+    m AS (SELECT p_brand, test, fraction, qx, sum(w) AS s0, sum(w * (x - qx)) AS s1, sum(w * pow(x - qx, 2)) AS s2, sum(w * y) AS t0, sum(w * (x - qx) * y) AS t1 FROM w GROUP BY p_brand, test, fraction, qx),
+    v AS (SELECT p_brand, test, fraction, qx, {_VALUE[1]} AS fit FROM m),
+    e AS (SELECT a.p_brand, a.test, l.fraction, pow(py - CASE WHEN lo IS NULL OR hi IS NULL THEN l.fit ELSE l.fit + (h.fit - l.fit) * (px - lo) / (hi - lo) END, 2) AS e FROM a JOIN v l ON a.p_brand = l.p_brand AND a.test = l.test AND l.qx = coalesce(lo, hi) JOIN v h ON a.p_brand = h.p_brand AND a.test = h.test AND h.qx = coalesce(hi, lo) AND l.fraction = h.fraction),
+    scores AS ({total})
+    """
 
 
-_add(
-    "kfold_cv_global_line",
-    _kfold_linear,
-    """WITH s AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS x, p_retailprice AS y, count(*) OVER (PARTITION BY p_brand) AS n FROM part), f AS (SELECT *, least((x - 1) // (n // 5), 4) AS fold FROM s WHERE n >= 5),
-    t AS (SELECT f.*, k.test FROM f, (SELECT unnest(range(0, 5)) AS test) k), l AS (SELECT p_brand, test, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t WHERE fold <> test GROUP BY p_brand, test),
-    e AS (SELECT t.p_brand, t.test, sqrt(avg(pow(y - a - b * x, 2))) AS rmse FROM t JOIN l ON t.p_brand = l.p_brand AND t.test = l.test WHERE fold = t.test GROUP BY t.p_brand, t.test) SELECT p_brand, round(avg(rmse), 6) AS score FROM e GROUP BY p_brand""",
-)
+_SCORED = "SELECT p_brand, CAST(fraction AS DOUBLE) AS fraction, round(score, 6) + 0.0 AS score"
+_BEST = "fraction = first_value(fraction) OVER (PARTITION BY p_brand ORDER BY score, fraction) AS best FROM scores"
 
-_add("loocv", lambda spark, d: grouped.cross_validate_groups(brand_prices(spark, d).drop("n"), ["p_brand"], ["x"], "y", SmootherConfig(iterations=1, surface_mode="direct", boundary_policy="none", cross_validation=CrossValidation((0.5, 1.0), None))).select("p_brand", "fraction", _r("score", "score"), "best"))
 
-# --- window standard errors --------------------------------------------------------------------------
+def _validated(fractions: tuple[float, ...], folds: int | None) -> Query:
+    config = SmootherConfig(iterations=1, surface_mode="direct", boundary_policy="none", cross_validation=CrossValidation(fractions, folds))
+    return lambda spark, d: Smoother(config).cross_validate(brand_prices(spark, d).filter(F.col("n") >= (folds or 3)).drop("n"), "x", "y", "p_brand").select("p_brand", "fraction", _r("score", "score"), "best")
+
+
+_add("kfold_cv", _validated((0.4, 0.8), 5), f"{_folds_sql((0.4, 0.8), 5)} {_SCORED}, {_BEST}")
+_add("loocv", lambda spark, d: _validated((0.5, 1.0), None)(spark, d).drop("best"), f"{_folds_sql((0.5, 1.0), None)} {_SCORED} FROM scores")
 
 
-def _window_se(spark: SparkSession, d: str) -> DataFrame:
-    """Standard errors of each user's mean from local residual variances in windows of ranks."""
-    s = _series(spark, d).withColumn("r", F.col("y") - F.avg("y").over(Window.partitionBy("user_id")))
-    i = F.col("x").cast("long") - 1
-    left = F.greatest(F.lit(0), F.least(i - F.floor(F.col("q") / 2), F.col("n") - F.col("q")))
-    s = s.withColumn("low", left + 1).withColumn("high", left + F.col("q"))
-    bucket = lambda c: F.floor(F.col(c) / F.col("q")).cast("long")
-    rows = s.select("user_id", F.col("x").alias("nx"), F.col("r").alias("nr"), bucket("x").alias("_b"))
-    ask = s.withColumn("_b", F.explode(F.sequence(bucket("low"), bucket("high"))))
-    pairs = ask.join(rows, ["user_id", "_b"]).filter("nx BETWEEN low AND high")
-    u = F.abs(F.col("nx") - F.col("x")) / F.greatest(F.col("x") - F.col("low"), F.col("high") - F.col("x"))
-    sums = pairs.withColumn("w", C.kernel("tricube", u)).groupBy("user_id", "x").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("nr") * F.col("nr")).alias("swr"))
-    se = F.when(F.col("sw") > 2, F.sqrt(F.col("swr") / (F.col("sw") - 2) / F.col("sw"))).otherwise(0.0)
-    return sums.select("user_id", "x", _r(se, "std_err"))
+def _best_fraction(spark: SparkSession, d: str) -> DataFrame:
+    config = SmootherConfig(iterations=1, surface_mode="direct", boundary_policy="none", cross_validation=CrossValidation((0.4, 0.8), 5))
+    fit = Smoother(config).fit(brand_prices(spark, d).filter("n >= 5").drop("n"), "x", "y", "p_brand")
+    return fit.summary.select("p_brand", "fraction_used").join(fit.best_cv_score(), "p_brand").select("p_brand", "fraction_used", _r("best_cv_score", "best_cv_score"))
+
+
+_add("best_fraction", _best_fraction, f"{_folds_sql((0.4, 0.8), 5)} SELECT p_brand, fraction AS fraction_used, round(score, 6) + 0.0 AS best_cv_score FROM (SELECT p_brand, CAST(fraction AS DOUBLE) AS fraction, score, {_BEST}) WHERE best")
+
+# --- window standard errors --------------------------------------------------------------------------
 
 
 _add(
     "window_se",
-    _window_se,
+    lambda spark, d: grouped.window_errors(user_activity(spark, d).drop("n").withColumn("mean", F.avg("y").over(Window.partitionBy("user_id"))), ["user_id"], "x", "y", "mean", SmootherConfig(fraction=SPAN)).select("user_id", "x", _r("std_err", "std_err")),
     f"""WITH {_SERIES}, r AS (SELECT *, y - avg(y) OVER (PARTITION BY user_id) AS r, greatest(0, least(CAST(x AS BIGINT) - 1 - q // 2, n - q)) + 1 AS low FROM s), h AS (SELECT *, low + q - 1 AS high FROM r),
     p AS (SELECT a.user_id, a.x, b.r, abs(b.x - a.x) / greatest(a.x - a.low, a.high - a.x) AS u FROM h a JOIN r b ON a.user_id = b.user_id AND b.x BETWEEN a.low AND a.high), w AS (SELECT *, {_kernel_sql('tricube', 'u')} AS w FROM p),
     m AS (SELECT user_id, x, sum(w) AS sw, sum(w * r * r) AS swr FROM w GROUP BY user_id, x) SELECT user_id, x, round(CASE WHEN sw > 2 THEN sqrt(swr / (sw - 2) / sw) ELSE 0.0 END, 6) + 0.0 AS std_err FROM m""",
@@ -484,21 +458,63 @@ _add(
 
 # --- interpolation surface ---------------------------------------------------------------------------
 
-_SURFACE_SQL = f"""WITH RECURSIVE {_SERIES}, i AS (SELECT unnest(range(1, 1000)) AS i), k AS (SELECT *, least(q // 2, n - 1) AS k FROM s),
-p AS (SELECT user_id, x, y FROM k UNION ALL SELECT user_id, x - i, y FROM k, i WHERE x = 1 AND i <= k UNION ALL SELECT user_id, x + i, y FROM k, i WHERE x = n AND i <= k),
-b AS (SELECT user_id, any_value(n) AS n, any_value(q) AS q, any_value(k) AS k, any_value(n) + 2 * any_value(k) AS m FROM k GROUP BY user_id),
-c AS (SELECT user_id, CAST(0 AS BIGINT) AS lo, m - 1 AS hi, greatest(1, CAST(floor(m * 0.2 * {SPAN}) AS BIGINT)) AS fc, k FROM b
-  UNION ALL SELECT user_id, CASE WHEN side = 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN side = 0 THEN (lo + hi) // 2 ELSE hi END, fc, k FROM c, (SELECT unnest([0, 1]) AS side) WHERE hi - lo + 1 > fc),
-v AS (SELECT DISTINCT user_id, CAST((lo + hi) // 2 + 1 - k AS DOUBLE) AS v FROM c WHERE hi - lo + 1 > fc UNION SELECT user_id, 1 - k - 0.005 * (m - 1) FROM b UNION SELECT user_id, n + k + 0.005 * (m - 1) FROM b),
-near AS (SELECT * FROM (SELECT v.user_id, v AS qx, x, y, q, abs(x - v) AS d, row_number() OVER (PARTITION BY v.user_id, v ORDER BY abs(x - v), x) AS nth FROM v JOIN p ON v.user_id = p.user_id JOIN b ON v.user_id = b.user_id WHERE abs(x - v) <= q + 1) WHERE nth <= q),
-{_weights()}, {_MOMENTS},
-t AS (SELECT user_id, qx AS v, {_VALUE[1]} AS f, (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) AS g FROM m),
-cells AS (SELECT user_id, v AS a, f AS fa, g AS ga, lead(v) OVER o AS b, lead(f) OVER o AS fb, lead(g) OVER o AS gb FROM t WINDOW o AS (PARTITION BY user_id ORDER BY v)),
-h AS (SELECT s.user_id, s.x, s.y, s.n, fa, fb, ga, gb, b - a AS w, (x - a) / (b - a) AS h FROM s JOIN cells ON s.user_id = cells.user_id AND x > a AND x <= b),
-e AS (SELECT user_id, x, y, n, (1 - h) * (1 - h) * (1 + 2 * h) * fa + h * h * (3 - 2 * h) * fb + (h * (1 - h) * (1 - h) * ga + h * h * (h - 1) * gb) * w AS fit FROM h),
-u AS (SELECT user_id, max(CASE WHEN nth = n // 2 + 1 THEN r END) AS mid FROM (SELECT user_id, n, abs(y - fit) AS r, row_number() OVER (PARTITION BY user_id ORDER BY abs(y - fit)) AS nth FROM e) GROUP BY user_id)
-SELECT e.user_id, x, round(fit, 5) + 0.0 AS y_smooth, round(1.4826 * mid * sqrt({SPAN} / n), 5) + 0.0 AS std_err, round(y - fit, 5) + 0.0 AS residual FROM e JOIN u ON e.user_id = u.user_id"""
-_add("surface_fit_1d", _grouped({"fraction": SPAN, "iterations": 1, "return_se": True, "return_residuals": True}, 5), _SURFACE_SQL)
+#: Value and slope at a vertex from its moments, by degree.
+_VERTEX = {
+    1: (_VALUE[1], "(s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1)"),
+    2: (_VALUE[2], "(s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2))"),
+}
+_USERS = "s0 AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS DOUBLE) AS x, value AS y, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+_DAYS = "s0 AS (SELECT 0 AS user_id, x, y, count(*) OVER () AS n FROM (SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, avg(o_totalprice) AS y FROM orders GROUP BY 1))"
+_ENDS_SQL = {
+    "extend": "SELECT e.user_id, x1 - i * (x2 - x1) AS x, y1 AS y, x1 AS source FROM ends e, i WHERE i <= k UNION ALL SELECT e.user_id, x4 + i * (x4 - x3), y4, x4 FROM ends e, i WHERE i <= k",
+    "reflect": "SELECT a.user_id, 2 * x1 - x AS x, y, x1 AS source FROM a JOIN ends e ON a.user_id = e.user_id WHERE pos BETWEEN 1 AND k UNION ALL SELECT a.user_id, 2 * x4 - x, y, x4 FROM a JOIN ends e ON a.user_id = e.user_id WHERE pos BETWEEN a.n - 1 - k AND a.n - 2",
+}
+
+
+def _surface_sql(series: str, fraction: float, passes: int = 1, degree: int = 1, boundary: str = "extend", method: str = "bisquare", scaling: str = "mad") -> str:
+    """Common table expressions up to ``e{passes - 1}``: user_id, x, y, n, fit of the interpolation surface, and rob_weight."""
+    scale = _guard({"mad": "spread", "mar": "med"}[scaling])
+    weight = re.sub(r"\bs\b", "sc", _WEIGHT_SQL[method])
+    out = f"""WITH RECURSIVE {series}, a AS MATERIALIZED (SELECT *, greatest(2, least(n, CAST(floor(n * {fraction} + 1e-5) AS BIGINT))) AS q, row_number() OVER (PARTITION BY user_id ORDER BY x) - 1 AS pos FROM s0),
+ends AS MATERIALIZED (SELECT user_id, any_value(n) AS n, any_value(q) AS q, least(any_value(q) // 2, any_value(n) - 1) AS k, max(CASE WHEN pos = 0 THEN x END) AS x1, max(CASE WHEN pos = 1 THEN x END) AS x2, max(CASE WHEN pos = n - 2 THEN x END) AS x3, max(CASE WHEN pos = n - 1 THEN x END) AS x4, max(CASE WHEN pos = 0 THEN y END) AS y1, max(CASE WHEN pos = n - 1 THEN y END) AS y4 FROM a GROUP BY user_id),
+i AS (SELECT unnest(range(1, 2000)) AS i), p0 AS (SELECT user_id, x, y, x AS source FROM a UNION ALL {_ENDS_SQL[boundary]}), p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x) - 1 AS pos FROM p0),
+b AS (SELECT p.user_id, max(q) AS q, count(*) AS m, min(x) AS low, max(x) AS high FROM p JOIN ends ON p.user_id = ends.user_id GROUP BY p.user_id),
+c AS (SELECT user_id, CAST(0 AS BIGINT) AS lo, m - 1 AS hi, greatest(1, CAST(floor(m * 0.2 * {fraction}) AS BIGINT)) AS fc FROM b
+  UNION ALL SELECT user_id, CASE WHEN side = 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN side = 0 THEN (lo + hi) // 2 ELSE hi END, fc FROM c, (SELECT unnest([0, 1]) AS side) WHERE hi - lo + 1 > fc),
+v AS MATERIALIZED (SELECT DISTINCT c.user_id, x AS v, false AS outside FROM c JOIN p ON c.user_id = p.user_id AND p.pos = (lo + hi) // 2 WHERE hi - lo + 1 > fc UNION SELECT user_id, low - 0.005 * (high - low), true FROM b UNION SELECT user_id, high + 0.005 * (high - low), true FROM b),
+near AS (SELECT * FROM (SELECT v.user_id, v AS qx, outside, x, y, q, source, abs(x - v) AS d, row_number() OVER (PARTITION BY v.user_id, v ORDER BY abs(x - v), x) AS nth FROM v JOIN p ON v.user_id = p.user_id JOIN b ON v.user_id = b.user_id) WHERE nth <= q),
+{_weights().replace("w AS", "wp AS MATERIALIZED", 1)}"""
+    for k in range(passes):
+        if k:
+            out += f""", r{k} AS MATERIALIZED (SELECT user_id, x, abs(y - fit) AS r FROM e{k - 1}), am{k} AS (SELECT user_id, median(r) AS med, avg(r) AS mean FROM r{k} GROUP BY user_id),
+ad{k} AS (SELECT r.user_id, median(abs(r - med)) AS spread, max(med) AS med, max(mean) AS mean FROM r{k} r JOIN am{k} a ON r.user_id = a.user_id GROUP BY r.user_id), rw{k} AS MATERIALIZED (SELECT user_id, x, {weight} AS rw FROM (SELECT r.user_id, x, r, {scale} AS sc FROM r{k} r JOIN ad{k} d ON r.user_id = d.user_id))"""
+        weighed = f"SELECT wp.* REPLACE (w * rw AS w) FROM wp JOIN rw{k} r ON wp.user_id = r.user_id AND wp.source = r.x" if k else "SELECT * FROM wp"
+        value, slope = _VERTEX[degree]
+        if degree > 1:  # vertices beyond the data are fitted by lines
+            value, slope = (f"CASE WHEN outside THEN {line} ELSE {own} END" for line, own in zip(_VERTEX[1], _VERTEX[degree], strict=True))
+        moments = _MOMENTS.replace("m AS", f"m{k} AS", 1).replace("SELECT user_id, qx,", "SELECT user_id, qx, any_value(outside) AS outside,", 1).replace("FROM w GROUP", f"FROM w{k} GROUP", 1)
+        out += f""", w{k} AS ({weighed}), {moments}, t{k} AS (SELECT user_id, qx AS v, {value} AS f, {slope} AS g FROM m{k}),
+cells{k} AS (SELECT user_id, v AS a, f AS fa, g AS ga, lead(v) OVER o AS b, lead(f) OVER o AS fb, lead(g) OVER o AS gb FROM t{k} WINDOW o AS (PARTITION BY user_id ORDER BY v)),
+h{k} AS (SELECT s.user_id, s.x, s.y, s.n, fa, fb, ga, gb, b - a AS w, (s.x - c.a) / (b - a) AS h FROM a s JOIN cells{k} c ON s.user_id = c.user_id AND s.x > c.a AND s.x <= b),
+e{k} AS MATERIALIZED (SELECT user_id, x, y, n, (1 - h) * (1 - h) * (1 + 2 * h) * fa + h * h * (3 - 2 * h) * fb + (h * (1 - h) * (1 - h) * ga + h * h * (h - 1) * gb) * w AS fit FROM h{k})"""
+    return out
+
+
+_SIGMA = "u AS (SELECT user_id, max(CASE WHEN nth = n // 2 + 1 THEN r END) AS mid FROM (SELECT user_id, n, abs(y - fit) AS r, row_number() OVER (PARTITION BY user_id ORDER BY abs(y - fit)) AS nth FROM e0) GROUP BY user_id)"
+_add(
+    "surface_fit_1d",
+    _grouped({"fraction": SPAN, "iterations": 1, "return_se": True, "return_residuals": True}, 5),
+    f"{_surface_sql(_USERS, SPAN)}, {_SIGMA} SELECT e0.user_id, x, round(fit, 5) + 0.0 AS y_smooth, round(1.4826 * mid * sqrt({SPAN} / n), 5) + 0.0 AS std_err, round(y - fit, 5) + 0.0 AS residual FROM e0 JOIN u ON e0.user_id = u.user_id",
+)
+_LAST = "SELECT user_id, x, round(fit, 5) + 0.0 AS y_smooth FROM e2"
+_add("smooth_default", _grouped({}, 5), f"{_surface_sql(_USERS, 0.67, 3)} {_LAST}")
+_add("smooth_quadratic", _grouped({"degree": 2, "fraction": 0.5}, 5), f"{_surface_sql(_USERS, 0.5, 3, 2)} {_LAST}")
+_add("smooth_huber_reflect", _grouped({"robustness_method": "huber", "scaling_method": "mar", "boundary_policy": "reflect"}, 5), f"{_surface_sql(_USERS, 0.67, 3, 1, 'reflect', 'huber', 'mar')} {_LAST}")
+_add(
+    "surface_large_series",
+    lambda spark, d: Smoother(fraction=0.2).fit_large(daily_revenue(spark, d), "x", "y").select("x", _r("y", "y", 4), _r("y_smooth", "y_smooth", 3), _r("rob_weight", "rob_weight")),
+    f"{_surface_sql(_DAYS, 0.2, 3)} SELECT e2.x, round(y, 4) AS y, round(fit, 3) + 0.0 AS y_smooth, round(rw, 6) + 0.0 AS rob_weight FROM e2 JOIN rw2 ON e2.x = rw2.x",
+)
 
 # --- Structured Streaming ----------------------------------------------------------------------------
 

@@ -3,60 +3,74 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.config import SmootherConfig
-from driftline.operators.numeric import smooth
+from driftline.operators.numeric import merged, smooth
+from driftline.operators.series import map_series, numbers
 
 
-def merge_rule(strategy: str, before: Column, now: Column, place: Column, overlap: Column) -> Column:
-    """The merged value of a row that two blocks share; ``place`` counts from 0 in the overlap."""
-    share = {"average": F.lit(0.5), "weighted_average": place / overlap, "take_first": F.lit(0.0), "take_last": F.lit(1.0)}[strategy]
-    return F.when(before.isNull(), now).when(now.isNull(), before).otherwise(before * (1 - share) + now * share)
+#: Consecutive blocks of a series that a task works off together.
+TOGETHER = 64
 
 
-def blocks(df: DataFrame, keys: list[str], order_by: list[str], c: SmootherConfig) -> DataFrame:
-    """Each row once per block it belongs to: ``_row`` from 0, ``_block`` and ``_place`` in the overlap with the block before.
+def last_block(n: Column, c: SmootherConfig) -> Column:
+    """The last block of a series of ``n`` rows.
 
     A block takes ``chunk_size`` new rows after the ``overlap`` last rows of the one before; a rest that is
     shorter than the overlap joins the last block, so every block can hand on a full overlap.
     """
-    key = Window.partitionBy(*keys)
-    rows = df.withColumn("_row", F.row_number().over(key.orderBy(*order_by)) - 1).withColumn("_n", F.count("*").over(key))
-    last = F.greatest(F.lit(0), F.floor((F.col("_n") - 1) / c.chunk_size) - ((F.col("_n") - 1) % c.chunk_size + 1 < c.overlap).cast("int")).cast("int")
-    own = F.least(F.floor(F.col("_row") / c.chunk_size).cast("int"), last)
-    ahead = (own + 1) * c.chunk_size - F.col("_row")  # rows up to the next block
-    both = F.when((own < last) & (ahead <= c.overlap), F.array(own, own + 1)).otherwise(F.array(own))
-    rows = rows.withColumn("_ahead", ahead).withColumn("_own", own).withColumn("_block", F.explode(both))
-    return rows.withColumn("_place", F.when(F.col("_ahead") <= c.overlap, c.overlap - F.col("_ahead")))
+    return F.greatest(F.lit(0), F.floor((n - 1) / c.chunk_size) - ((n - 1) % c.chunk_size + 1 < c.overlap).cast("int")).cast("int")
 
 
 def fit_chunks(df: DataFrame, keys: list[str], x: list[str], y: str, c: SmootherConfig, order_by: list[str] | None = None) -> DataFrame:
-    """``df`` with ``chunk``, ``y_smooth``, ``residual`` and ``rob_weight``, each row once, in the block that emits it."""
-    order = order_by or x
-    part = blocks(df, keys, order, c)
-    names = [f.name for f in df.schema.fields]
-    schema = T.StructType([*part.schema.fields, T.StructField("_fit", T.DoubleType()), T.StructField("_weight", T.DoubleType())])
+    """``df`` with ``chunk``, ``y_smooth``, ``residual`` and ``rob_weight``, each row once, in the block that emits it.
+
+    A task gets ``TOGETHER`` blocks of a series with the block before them, whose fit the first of them is merged with. So
+    blocks meet without a second shuffle, and a long series fills as many tasks as it has such stretches.
+    """
+    order, chunk, overlap = order_by or x, c.chunk_size, c.overlap
+    key = Window.partitionBy(*keys)
+    rows = df.withColumn("_row", F.row_number().over(key.orderBy(*order)).cast("long") - 1).withColumn("_n", F.count("*").over(key))
+    own = F.least(F.floor(F.col("_row") / chunk).cast("int"), last_block(F.col("_n"), c))
+    rows = rows.withColumn("_last", last_block(F.col("_n"), c)).withColumn("_own", own)
+    shared = (F.col("_own") < F.col("_last")) & ((F.col("_own") + 1) * chunk - F.col("_row") <= overlap)  # with the next block
+    rows = rows.withColumn("_emit", F.col("_own") + shared.cast("int"))
+    stretch = lambda b: F.floor(b / TOGETHER).cast("int")
+    # the stretch of the row's blocks, and the next one if it begins with the block after them
+    rows = rows.withColumn("_stretch", F.explode(F.array_distinct(F.array(stretch(F.col("_own")), stretch(F.least(F.col("_emit") + 1, F.col("_last")))))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_row", kind="stable")
-        values = pdf[y].to_numpy(np.float64)
-        fit = smooth(pdf[x].to_numpy(np.float64), values, c) if len(pdf) > 1 else None
-        return pdf.assign(_fit=values if fit is None else fit.y, _weight=1.0 if fit is None else fit.weights)
+    def work(table: pa.Table, starts: np.ndarray) -> dict:
+        points, values = numbers(table, x), numbers(table, [y])[:, 0]
+        row, last, emit, at = (table.column(k).to_numpy() for k in ("_row", "_last", "_emit", "_stretch"))
+        out = {k: np.full(len(values), np.nan) for k in ("y_smooth", "rob_weight")}
+        for first, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            base, top = int(row[first]), int(last[first])
+            lead = int(at[first]) * TOGETHER
+            earlier: tuple[int, np.ndarray, np.ndarray] | None = None  # where the block before ends, and its fit of the overlap
+            for b in range(max(0, lead - 1), min(top, lead + TOGETHER - 1) + 1):
+                low = first + max(b * chunk - (overlap if b else 0), 0) - base
+                high = end if b == top else first + (b + 1) * chunk - base
+                fit = smooth(points[low:high], values[low:high], c) if high - low > 1 else None
+                value, weight = (values[low:high], np.ones(high - low)) if fit is None else (fit.y.copy(), fit.weights.copy())
+                if earlier is not None and overlap:
+                    n = min(overlap, high - low)
+                    value[:n], weight[:n] = merged(earlier[1], value[:n], c.merge_strategy), merged(earlier[2], weight[:n], c.merge_strategy)
+                # the last rows stay as fitted for the next block, which merges them
+                tail = high - overlap if b < top and overlap else high
+                if fit is not None:
+                    earlier = (high, fit.y[len(value) - (high - tail) :], fit.weights[len(value) - (high - tail) :])
+                else:
+                    earlier = (high, value[len(value) - (high - tail) :], weight[len(value) - (high - tail) :])
+                if b >= lead:
+                    out["y_smooth"][low:tail], out["rob_weight"][low:tail] = value[: tail - low], weight[: tail - low]
+        return out | {"residual": values - out["y_smooth"], "chunk": emit, None: emit // TOGETHER == at}
 
-    fits = part.groupBy(*keys, "_block").applyInPandas(run, schema)
-    # a row's fits meet by series and row: two at most
-    value = lambda col, old: F.max(F.when((F.col("_block") == F.col("_own")) == old, F.col(col)))
-    grouped = fits.groupBy(*keys, "_row").agg(
-        *(F.first(n).alias(n) for n in names if n not in keys), F.max("_block").alias("chunk"), F.first("_place").alias("_place"),
-        value("_fit", True).alias("_f0"), value("_fit", False).alias("_f1"), value("_weight", True).alias("_w0"), value("_weight", False).alias("_w1"),
-    )
-    join = lambda a, b: merge_rule(c.merge_strategy, F.col(a), F.col(b), F.col("_place"), F.lit(float(max(c.overlap, 1))))
-    out = grouped.select(*names, "chunk", join("_f0", "_f1").alias("y_smooth"), join("_w0", "_w1").alias("rob_weight"))
-    return out.withColumn("residual", F.col(y) - F.col("y_smooth"))
+    new = [T.StructField("chunk", T.IntegerType()), *(T.StructField(k, T.DoubleType()) for k in ("y_smooth", "residual", "rob_weight"))]
+    return map_series(rows, [*keys, "_stretch"], ["_row"], work, new, ["_row", "_n", "_last", "_own", "_emit", "_stretch"])
 
 
 def cumulative_diagnostics(chunked: DataFrame, keys: list[str], y: str) -> DataFrame:

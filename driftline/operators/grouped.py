@@ -1,18 +1,22 @@
-"""Many series, each fitted whole in one Arrow group (any dimension, any option)."""
+"""Many series, each fitted whole in an Arrow batch (any dimension, any option)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from driftline import errors as E
 from driftline.config import SmootherConfig
-from driftline.operators.numeric import Fit, fit_series, predict
+from driftline.operators.numeric import Fit, cross_validate, fit_series, predict, span, window_se
+from driftline.operators.series import map_series, numbers
 
 #: Rows of the largest series that one task takes; longer one-dimensional ones belong to plans.surface.
 MAX_GROUP_ROWS = 200_000
@@ -89,19 +93,23 @@ def fit_groups(df: DataFrame, keys: list[str], x: list[str], y: str, c: Smoother
     if len(x) != c.dimensions:
         raise E.MismatchedInputs(f"{len(x)} predictor columns, {c.dimensions} dimensions")
     order = order_by or x
-    schema = T.StructType([*df.schema.fields, *(T.StructField(k, T.DoubleType()) for k in point_fields(c)), T.StructField("_summary", summary_type(c))])
+    summary = to_arrow_type(summary_type(c))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_group_rows:
-            raise E.InvalidInput(f"a series has {len(pdf)} rows, more than {max_group_rows}; one-dimensional ones can be fitted by fit_surface")
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        values = pdf[y].to_numpy(np.float64)
-        fit = (custom_fit or fit_series)(pdf[x].to_numpy(np.float64), values, c)
-        out = pdf.assign(**_columns(fit, values, c))
-        out["_summary"] = pd.Series([_summary(fit, c), *[None] * (len(pdf) - 1)], dtype=object)
-        return out
+    def work(table: pa.Table, starts: np.ndarray) -> dict:
+        points, values = numbers(table, x), numbers(table, [y])[:, 0]
+        parts: dict[str, list[np.ndarray]] = {k: [] for k in point_fields(c)}
+        facts: list[dict | None] = [None] * len(values)
+        for first, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if end - first > max_group_rows:
+                raise E.InvalidInput(f"a series has {end - first} rows, more than {max_group_rows}; one-dimensional ones can be fitted by fit_surface")
+            fit = (custom_fit or fit_series)(points[first:end], values[first:end], c)
+            for k, v in _columns(fit, values[first:end], c).items():
+                parts[k].append(v)
+            facts[first] = _summary(fit, c)
+        return {k: np.concatenate(v) for k, v in parts.items()} | {"_summary": pa.array(facts, summary)}
 
-    return checked(df, x, y, na).groupBy(*keys).applyInPandas(run, schema)
+    new = [*(T.StructField(k, T.DoubleType()) for k in point_fields(c)), T.StructField("_summary", summary_type(c))]
+    return map_series(checked(df, x, y, na), keys, order, work, new)
 
 
 def predict_groups(train: DataFrame, queries: DataFrame, keys: list[str], x: list[str], y: str, c: SmootherConfig) -> DataFrame:
@@ -119,26 +127,33 @@ def predict_groups(train: DataFrame, queries: DataFrame, keys: list[str], x: lis
     return train.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, schema)
 
 
+def window_errors(df: DataFrame, keys: list[str], x: str, y: str, fitted: str, c: SmootherConfig) -> DataFrame:
+    """``df`` with ``std_err``: local residual variances of a given fit in windows of the span, by series."""
+
+    def work(table: pa.Table, starts: np.ndarray) -> dict:
+        at, values, fit = (numbers(table, [k])[:, 0] for k in (x, y, fitted))
+        pairs = zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)
+        return {"std_err": np.concatenate([window_se(at[a:b], values[a:b], fit[a:b], c.weight_function, span(b - a, c.fraction)) for a, b in pairs])}
+
+    return map_series(df, keys, [x], work, [T.StructField("std_err", T.DoubleType())])
+
+
 def cross_validate_groups(df: DataFrame, keys: list[str], x: list[str], y: str, c: SmootherConfig) -> DataFrame:
     """keys, fraction, score, best: every candidate span of every series is a group of its own.
 
     The table is exploded by candidate, so a few series with many candidates still fill a cluster.
     """
     cv = c.cross_validation
-    rows = df.select(*keys, *x, y, F.posexplode(F.array(*map(F.lit, cv.fractions))).alias("_at", "_fraction"))
-    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("_at", T.IntegerType()), T.StructField("fraction", T.DoubleType()), T.StructField("score", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from dataclasses import replace
-
-        from driftline.operators.numeric import cross_validate
+    rows = df.select(*keys, *x, y, F.posexplode(F.array(*map(F.lit, cv.fractions))).alias("_at", "fraction"))
 
-        pdf = pdf.sort_values(x, kind="stable")
-        f = float(pdf["_fraction"].iloc[0])
-        own = c.but(cross_validation=replace(cv, fractions=(f,)))
-        _, scores = cross_validate(pdf[x].to_numpy(np.float64), pdf[y].to_numpy(np.float64), own)
-        return pdf[[*keys, "_at"]].head(1).assign(fraction=f, score=scores[0])
+    def work(table: pa.Table, starts: np.ndarray) -> dict:
+        points, values, fractions = numbers(table, x), numbers(table, [y])[:, 0], numbers(table, ["fraction"])[:, 0]
+        scores = np.full(len(values), np.nan)
+        for first, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            own = c.but(cross_validation=replace(cv, fractions=(float(fractions[first]),)))
+            scores[first] = cross_validate(points[first:end], values[first:end], own)[1][0]
+        return {"score": scores, None: ~np.isnan(scores)}
 
-    scored = rows.groupBy(*keys, "_at", "_fraction").applyInPandas(run, schema)
+    scored = map_series(rows, [*keys, "_at"], x, work, [T.StructField("score", T.DoubleType())], [*x, y])
     best = scored.groupBy(*keys).agg(F.min_by("_at", F.struct("score", "_at")).alias("_best"))
     return scored.join(best, keys).select(*keys, "fraction", "score", (F.col("_at") == F.col("_best")).alias("best"))

@@ -19,6 +19,8 @@ from driftline.config import CrossValidation, SmootherConfig
 EPS = float(np.finfo(np.float64).eps)
 #: Elements of the largest temporary array of a stack of fits.
 BLOCK = 2_000_000
+#: Neighbours of all queries together that are kept between iterations; beyond, they are found again block by block.
+KEPT = 8_000_000
 
 
 # --- spans, kernels, distances -----------------------------------------------------------------------
@@ -77,8 +79,13 @@ class Neighbours:
         self.points, self.c, self.scales = points, c, scales
         self.order = np.argsort(points[:, 0], kind="stable") if points.shape[1] == 1 else None
 
-    def find(self, queries: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and distances of the ``q`` nearest, one row per query."""
+    def find(self, queries: np.ndarray, q: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Indices and distances of the ``q`` nearest, one row per query; ``skip`` has the point that each query leaves out."""
+        if skip is not None:
+            index, gap = self.find(queries, min(q + 1, len(self.points)))
+            far = np.where(index == skip[:, None], np.inf, gap)
+            out = np.arange(index.shape[1]) != far.shape[1] - 1 - far[:, ::-1].argmax(axis=1)[:, None]  # the last of the farthest
+            return index[out].reshape(len(queries), -1), gap[out].reshape(len(queries), -1)
         q = min(q, len(self.points))
         if self.order is None:
             return self._by_blocks(queries, q)
@@ -256,6 +263,28 @@ class LocalFits:
         return out
 
 
+class BlockwiseFits:
+    """The values of ``LocalFits`` for so many queries that their neighbours are found, used and forgotten in blocks."""
+
+    def __init__(self, points: np.ndarray, y: np.ndarray, queries: np.ndarray, neighbours: Neighbours, q: int, config: SmootherConfig):
+        self.points, self.y, self.queries, self.neighbours, self.q, self.config = points, y, queries, neighbours, q, config
+        self.step = max(1, BLOCK // min(q, len(points)))
+
+    def values(self, robust: np.ndarray, own: np.ndarray, fallback: str) -> tuple[np.ndarray, np.ndarray]:
+        value, lever = np.empty(len(self.queries)), np.empty(len(self.queries))
+        for k in range(0, len(self.queries), self.step):
+            part = slice(k, k + self.step)
+            fits = LocalFits(self.points, self.y, self.queries[part], *self.neighbours.find(self.queries[part], self.q), self.config)
+            value[part], lever[part] = fits.values(robust, own[part], fallback)
+        return value, lever
+
+
+def local_fits(points: np.ndarray, y: np.ndarray, queries: np.ndarray, neighbours: Neighbours, q: int, c: SmootherConfig) -> LocalFits | BlockwiseFits:
+    if len(queries) * min(q, len(points)) > KEPT:
+        return BlockwiseFits(points, y, queries, neighbours, q, c)
+    return LocalFits(points, y, queries, *neighbours.find(queries, q), c)
+
+
 # --- interpolation surface ---------------------------------------------------------------------------
 
 
@@ -430,7 +459,7 @@ def smooth(x: np.ndarray, y: np.ndarray, c: SmootherConfig, iterations: int | No
     neighbours = Neighbours(px, c, scales_of(px))
     robust = np.ones(len(py))
     direct = c.surface_mode == "direct"
-    surface, fits = (None, LocalFits(px, py, x, *neighbours.find(x, q), c)) if direct else (Surface(px, py, c, q, neighbours, robust), None)
+    surface, fits = (None, local_fits(px, py, x, neighbours, q, c)) if direct else (Surface(px, py, c, q, neighbours, robust), None)
     fitted = lambda: fits.values(robust, y, c.zero_weight_fallback)[0] if direct else surface.evaluate(x)
     value = fitted()
     used, weights = 1, np.ones(n)
@@ -454,7 +483,7 @@ def smooth(x: np.ndarray, y: np.ndarray, c: SmootherConfig, iterations: int | No
 
 def predict(x: np.ndarray, y: np.ndarray, queries: np.ndarray, c: SmootherConfig, robust: np.ndarray | None = None) -> np.ndarray:
     """Direct fits at any points, with the span of the data and without padding."""
-    fits = LocalFits(x, y, queries, *Neighbours(x, c, scales_of(x)).find(queries, span(len(y), c.fraction)), c)
+    fits = local_fits(x, y, queries, Neighbours(x, c, scales_of(x)), span(len(y), c.fraction), c)
     return fits.values(np.ones(len(y)) if robust is None else robust, np.zeros(len(queries)), "use_local_mean")[0]
 
 
@@ -465,7 +494,7 @@ def shuffled(n: int, seed: int | None) -> np.ndarray:
     """Row order for folds: as given, or a Fisher-Yates shuffle by a 64-bit linear congruential generator."""
     order = list(range(n))
     if seed is not None:
-        state = seed
+        state = seed  # fixed value below: the generator's multiplier
         for i in range(n - 1, 0, -1):
             state = (state * 6364136223846793005 + 1) % (1 << 64)
             j = (state >> 32) % (i + 1)
@@ -681,10 +710,9 @@ def online_value(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> tuple[float
     return float(fit.y[-1]), float(fit.weights[-1]), fit.iterations_used
 
 
-def full_windows(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> np.ndarray:
-    """Incremental direct values of the newest point of every full window, all windows at once."""
-    size, q = c.window_capacity, min(span(c.window_capacity, c.fraction), c.window_capacity)
-    ends = np.arange(size - 1, len(y))
+def window_values(x: np.ndarray, y: np.ndarray, ends: np.ndarray, size: int, c: SmootherConfig) -> np.ndarray:
+    """Incremental direct values at the last points ``ends`` of windows of ``size`` rows, all windows at once."""
+    q = min(span(size, c.fraction), size)
     out = np.empty(len(ends))
     step = max(1, BLOCK // (size * x.shape[1]))
     for k in range(0, len(ends), step):
@@ -701,6 +729,11 @@ def full_windows(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> np.ndarray:
     return out
 
 
+def full_windows(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> np.ndarray:
+    """``window_values`` of every full window of one series."""
+    return window_values(x, y, np.arange(c.window_capacity - 1, len(y)), c.window_capacity, c)
+
+
 def merged(before: np.ndarray, now: np.ndarray, strategy: str) -> np.ndarray:
     """Two fits of the rows that two neighbouring blocks share, as one."""
     if strategy == "take_first":

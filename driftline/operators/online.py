@@ -3,48 +3,63 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline import errors as E
 from driftline.config import SmootherConfig
-from driftline.operators.numeric import check_data, full_windows, online_value
-
-
-def online_rows(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> list[tuple[float | None, float, float | None, int | None]]:
-    """y_smooth, residual, robustness weight and iterations of every point as it arrives; None until there are enough."""
-    out = []
-    done = {}
-    if c.update_mode == "incremental" and c.surface_mode == "direct" and c.boundary_policy == "none" and len(y) >= c.window_capacity:
-        check_data(x, y)
-        done = dict(enumerate(full_windows(x, y, c).tolist(), c.window_capacity))
-    for k in range(1, len(y) + 1):
-        if k in done:
-            out.append((done[k], float(y[k - 1]) - done[k], 1.0, 1))
-            continue
-        first = max(0, k - c.window_capacity)
-        if k - first < c.min_points:
-            out.append((None, None, None, None))
+from driftline.operators.numeric import online_value, window_values
+from driftline.operators.series import map_series, numbers
+
+#: Rows of a series that are worked off together at least; the rows of the window before them come along.
+SEGMENT = 4096
+_NEW = ("y_smooth", "residual", "rob_weight")
+
+
+def online_rows(x: np.ndarray, y: np.ndarray, position: np.ndarray, c: SmootherConfig) -> dict[str, np.ndarray]:
+    """y_smooth, residual, rob_weight and iterations_used of every point as it arrives, NaN until there are enough; and window_rows.
+
+    The arrays hold series one after another; ``position`` counts the points of its series before each, and the rows of
+    its window stand before it. Points with windows of one size are fitted together.
+    """
+    out = {k: np.full(len(y), np.nan) for k in (*_NEW, "iterations_used")}
+    size = out["window_rows"] = np.minimum(position + 1, c.window_capacity)
+    stacked = c.update_mode == "incremental" and c.surface_mode == "direct" and c.boundary_policy == "none"
+    for n in np.unique(size[size >= c.min_points]).tolist():
+        at = np.flatnonzero(size == n)
+        if stacked and n > 2:
+            out["y_smooth"][at], out["rob_weight"][at], out["iterations_used"][at] = window_values(x, y, at, n, c), 1.0, 1
             continue
-        value, weight, used = online_value(x[first:k], y[first:k], c)
-        out.append((value, float(y[k - 1]) - value, weight, used))
+        for k in at.tolist():
+            out["y_smooth"][k], out["rob_weight"][k], out["iterations_used"][k] = online_value(x[k + 1 - n : k + 1], y[k + 1 - n : k + 1], c)
+    out["residual"] = y - out["y_smooth"]
     return out
 
 
 def fit_online(df: DataFrame, keys: list[str], x: list[str], y: str, c: SmootherConfig, order_by: list[str] | None = None) -> DataFrame:
-    """``df`` with y_smooth, residual, rob_weight and iterations_used per row, in the order of ``order_by``.
+    """``df`` with y_smooth, residual, rob_weight, iterations_used and window_rows (points in the window) per row, in the order of ``order_by``.
 
-    Series are split over tasks by key; within one the window slides over arrays, so memory is the series
-    and time is rows times window.
+    Series are split into segments of rows, each with the rows of the window before it, so a long series fills as
+    many tasks as it has segments.
     """
     order = order_by or x
-    schema = T.StructType([*df.schema.fields, T.StructField("y_smooth", T.DoubleType()), T.StructField("residual", T.DoubleType()), T.StructField("rob_weight", T.DoubleType()), T.StructField("iterations_used", T.IntegerType())])
+    own = Window.partitionBy(*keys).orderBy(*order)
+    length, before = max(SEGMENT, c.window_capacity), c.window_capacity - 1
+    rows = df.withColumn("_row", F.row_number().over(own).cast("long") - 1)
+    segment = F.floor(F.col("_row") / length)
+    ahead = F.when((segment + 1) * length - F.col("_row") <= before, F.array(segment, segment + 1)).otherwise(F.array(segment))
+    rows = rows.withColumn("_segment", F.explode(ahead))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        rows = online_rows(pdf[x].to_numpy(np.float64), pdf[y].to_numpy(np.float64), c)
-        made = pd.DataFrame(rows, columns=["y_smooth", "residual", "rob_weight", "iterations_used"])
-        made["iterations_used"] = made["iterations_used"].astype("Int32")
-        return pd.concat([pdf, made], axis=1)
+    def work(table: pa.Table, starts: np.ndarray) -> dict:
+        points, values = numbers(table, x), numbers(table, [y])[:, 0]
+        if not (np.isfinite(points).all() and np.isfinite(values).all()):
+            raise E.InvalidNumericValue("predictors and responses must be finite")
+        row, at = table.column("_row").to_numpy(), table.column("_segment").to_numpy()
+        new = row // length == at
+        made = online_rows(points, values, np.where(new, row, -1), c)
+        return {k: pa.array(made[k], pa.float64(), from_pandas=True) for k in _NEW} | {"iterations_used": pa.array(made["iterations_used"], pa.float64(), from_pandas=True).cast(pa.int32()), "window_rows": pa.array(made["window_rows"]).cast(pa.int32()), None: new}
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    fields = [*(T.StructField(k, T.DoubleType()) for k in _NEW), T.StructField("iterations_used", T.IntegerType()), T.StructField("window_rows", T.IntegerType())]
+    return map_series(rows, [*keys, "_segment"], ["_row"], work, fields, ["_row", "_segment"])

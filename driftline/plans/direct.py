@@ -1,7 +1,8 @@
 """Direct local fits of one-dimensional series as DataFrame plans, without Python.
 
-x must be the rank of a row in its series (1, 2, ...), so the q nearest rows lie within q ranks and the
-neighbour join is an equi join by series and rank bucket, not a join of everything with everything.
+x must be the rank of a row in its series (1, 2, ...). The q nearest rows of a place are then one stretch of ranks,
+whose ends follow from the place, q and the number of rows. So neighbours are found without sorting, by an equi join
+by series and rank bucket, and the sums of a place are taken where its neighbours are.
 """
 
 from __future__ import annotations
@@ -10,37 +11,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import columns as C
+from driftline.sources.intermediate import stored
 
 
 def with_span(series: DataFrame, fraction: float) -> DataFrame:
     return series.withColumn("q", C.span("n", fraction))
 
 
-def neighbours(series: DataFrame, key: str, at: DataFrame | None = None, tie: str = "x") -> DataFrame:
-    """Rows (key, qx, x, y, d, n, q, ...) of the q nearest of every query; ``series`` needs x, y, n, q.
+def neighbours(series: DataFrame, key: str, at: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
+    """Rows (key, qx, x, y, d, n, q, ...) of the q nearest of every query, of two equally near the lower one; ``reach`` is the largest d.
 
-    Ranks are put in buckets of q; a query meets its own bucket and the ones beside it, where its q nearest
-    lie. ``at`` are queries (key, qx), by default all rows.
+    ``series`` needs x, y, n, q. Ranks are put in buckets of q; a query meets its own bucket and the ones beside it, where
+    its q nearest lie. ``at`` are queries (key, qx), by default all rows. ``exclude_self``
+    leaves the row of the query out of its q nearest.
     """
     bucket = lambda x: F.floor(F.col(x) / F.col("q")).cast("long")
-    rows = series.withColumn("_b", F.explode(F.array(bucket("x") - 1, bucket("x"), bucket("x") + 1)))
     if at is None:
-        queries = series.select(key, F.col("x").alias("qx"), bucket("x").alias("_b"))
+        queries = series.select(key, F.col("x").alias("qx"), "n", "q")
     else:
-        spans = series.groupBy(key).agg(F.first("q").alias("q"))
-        queries = at.join(spans, key).select(key, "qx", bucket("qx").alias("_b"))
-    pairs = queries.join(rows, [key, "_b"]).withColumn("d", F.abs(F.col("x") - F.col("qx")))
-    near = Window.partitionBy(key, "qx").orderBy("d", tie)
-    return pairs.withColumn("_nth", F.row_number().over(near)).filter(F.col("_nth") <= F.col("q")).drop("_b")
-
-
-def weighted(near: DataFrame, key: str, kernel: str = "tricube", robust: str | None = None) -> DataFrame:
+        queries = at.join(series.groupBy(key).agg(F.first("n").alias("n"), F.first("q").alias("q")), key).select(key, "qx", "n", "q")
+    first = F.greatest(F.lit(1), F.least(F.ceil(F.col("qx") - F.col("q") / 2), F.col("n") - F.col("q") + 1)).cast("double")
+    queries = queries.withColumn("_first", first).withColumn("_last", F.col("_first") + F.col("q") - 1)
+    queries = queries.withColumn("reach", F.greatest(F.abs(F.col("qx") - F.col("_first")), F.abs(F.col("_last") - F.col("qx"))))
+    # a stretch of q ranks lies in two buckets at most; a query goes to both, and each rank stays in its own
+    queries = queries.withColumn("_b", F.explode(F.array_distinct(F.array(bucket("_first"), bucket("_last"))))).drop("n", "q")
+    near = queries.join(series.withColumn("_b", bucket("x")), [key, "_b"]).filter("x BETWEEN _first AND _last")
+    near = near.filter("x <> qx") if exclude_self else near
+    return near.withColumn("d", F.abs(F.col("x") - F.col("qx"))).drop("_first", "_last")
+
+
+def weighted(near: DataFrame, kernel: str = "tricube", robust: str | None = None) -> DataFrame:
     """``near`` with the kernel weight ``w``, times a robustness weight column."""
-    reach = F.max("d").over(Window.partitionBy(key, "qx"))
-    near = near.withColumn("_reach", reach)
-    u = F.when(F.col("_reach") > 0, F.col("d") / F.col("_reach")).otherwise(F.col("d"))
-    w = C.kernel(kernel, u)
-    return near.withColumn("w", w if robust is None else w * F.col(robust)).drop("_reach")
+    w = C.kernel(kernel, F.when(F.col("reach") > 0, F.col("d") / F.col("reach")).otherwise(F.col("d")))
+    return near.withColumn("w", w if robust is None else w * F.col(robust))
 
 
 def moments(near: DataFrame, key: str, degree: int) -> DataFrame:
@@ -73,7 +76,7 @@ def value(degree: int) -> Column:
 
 def fit_direct(series: DataFrame, key: str, degree: int = 1, kernel: str = "tricube", at: DataFrame | None = None) -> DataFrame:
     """key, qx, fit, leverage of every row of ``series`` (key, x, y, n, q), or of the queries ``at``."""
-    m = moments(weighted(neighbours(series, key, at), key, kernel), key, degree)
+    m = moments(weighted(neighbours(series, key, at), kernel), key, degree)
     lever = C.linear_leverage("s0", "s1", "s2") if degree == 1 else 1 / F.col("s0")
     return m.select(key, "qx", value(degree).alias("fit"), lever.alias("leverage"))
 
@@ -88,14 +91,15 @@ def robust_scales(fitted: DataFrame, key: str, method: str = "mad") -> DataFrame
 
 
 def fit_robust(series: DataFrame, key: str, degree: int = 1, kernel: str = "tricube", method: str = "bisquare", scaling: str = "mad", passes: int = 1) -> DataFrame:
-    """key, x, y, fit, rw after ``passes`` reweightings, each a join of the new weights to the same neighbours."""
-    near = weighted(neighbours(series, key), key, kernel)
-    fit = moments(near, key, degree).select(key, F.col("qx").alias("x"), value(degree).alias("fit"))
-    rows = series.select(key, "x", "y").join(fit, [key, "x"]).withColumn("rw", F.lit(1.0))
+    """key, x, y, fit, rw after ``passes`` reweightings; new weights join the rows, not the pairs of neighbours."""
+
+    def fitted(rows: DataFrame, robust: str | None) -> DataFrame:
+        fit = moments(weighted(neighbours(rows, key), kernel, robust), key, degree).select(key, F.col("qx").alias("x"), value(degree).alias("fit"))
+        return rows.join(fit, [key, "x"])
+
+    rows = fitted(series, None).withColumn("rw", F.lit(1.0))
     for _ in range(passes):
-        rows = rows.withColumn("r", F.abs(F.col("y") - F.col("fit")))
-        weight = rows.join(robust_scales(rows, key, scaling), key).select(key, "x", C.robustness_weight(method, "r", "scale").alias("rw"))
-        again = near.join(weight, [key, "x"]).withColumn("w", F.col("w") * F.col("rw"))
-        fit = moments(again, key, degree).select(key, F.col("qx").alias("x"), value(degree).alias("fit"))
-        rows = series.select(key, "x", "y").join(fit, [key, "x"]).join(weight, [key, "x"])
+        rows = stored(rows.withColumn("r", F.abs(F.col("y") - F.col("fit"))), "robust-pass")  # read for the scales and for the next pass
+        weight = C.robustness_weight(method, "r", "scale")
+        rows = fitted(rows.join(robust_scales(rows, key, scaling), key).withColumn("rw", weight).drop("r", "scale", "fit"), "rw")
     return rows.select(key, "x", "y", "fit", "rw")

@@ -14,31 +14,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftline.config import SmootherConfig
-from driftline.operators.numeric import merged, online_value, smooth
+from driftline.operators.numeric import merged, smooth
+from driftline.operators.online import online_rows
 
 
-def online_stream(df: DataFrame, key: str, x: list[str], y: str, c: SmootherConfig, order_by: str) -> DataFrame:
-    """key, order, y, y_smooth, residual, rob_weight, iterations_used for every arriving row."""
+def online_stream(df: DataFrame, key: str, x: list[str], y: str, c: SmootherConfig, order_by: str, reset: str | None = None) -> DataFrame:
+    """key, order, y, y_smooth, residual, rob_weight, iterations_used, window_rows for every arriving row.
+
+    A row whose boolean column ``reset`` is true empties the window before it.
+    """
     d = c.dimensions
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    made_here = ["y_smooth", "residual", "rob_weight", "iterations_used", "window_rows"]
 
     def run(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         xs, ys = (np.array(v, np.float64) for v in (state.get if state.exists else ([], [])))
-        xs = xs.reshape(-1, d)
-        pdf = pd.concat(list(parts)).sort_values(order_by, kind="stable")
-        out = []
-        for place, px, py in zip(pdf[order_by], pdf[x].to_numpy(np.float64), pdf[y].to_numpy(np.float64), strict=True):
-            xs, ys = np.concatenate([xs, px[None]])[-c.window_capacity :], np.append(ys, py)[-c.window_capacity :]
-            if len(ys) < c.min_points:
-                out.append((group[0], place, py, None, None, None, None))
-            else:
-                value, weight, used = online_value(xs, ys, c)
-                out.append((group[0], place, py, value, py - value, weight, used))
-        state.update((xs.ravel().tolist(), ys.tolist()))
-        made = pd.DataFrame(out, columns=[key, order_by, "y", "y_smooth", "residual", "rob_weight", "iterations_used"])
-        yield made.assign(iterations_used=made["iterations_used"].astype("Int32"))
-
-    schema = f"{key} {fields[key]}, {order_by} {fields[order_by]}, y double, y_smooth double, residual double, rob_weight double, iterations_used int"
+        pdf = pd.concat(list(parts)).sort_values(order_by, kind="stable").reset_index(drop=True)
+        old = len(ys)
+        xs, ys = np.concatenate([xs.reshape(-1, d), pdf[x].to_numpy(np.float64)]), np.r_[ys, pdf[y].to_numpy(np.float64)]
+        place = np.arange(len(ys))
+        fresh = np.r_[np.zeros(old, bool), pdf[reset].astype(bool)] if reset else np.zeros(len(ys), bool)
+        begin = np.maximum.accumulate(np.where(fresh, place, 0))
+        rows = online_rows(xs, ys, np.where(place < old, -1, place - begin), c)
+        first = max(int(begin[-1]), len(ys) - c.window_capacity)
+        state.update((xs[first:].ravel().tolist(), ys[first:].tolist()))
+        out = pd.DataFrame({key: group[0], order_by: pdf[order_by], "y": ys[old:], **{k: rows[k][old:] for k in made_here}})
+        yield out.astype({"iterations_used": "Int32", "window_rows": "Int32"})
+
+    schema = f"{key} {fields[key]}, {order_by} {fields[order_by]}, y double, y_smooth double, residual double, rob_weight double, iterations_used int, window_rows int"
     return df.groupBy(key).applyInPandasWithState(run, schema, "xs array<double>, ys array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -86,11 +89,12 @@ class ChunkState:
         return self.block(new, True) if new else list(zip(self.place, self.y, self.fits, (np.array(self.y) - np.array(self.fits)).tolist(), self.weights, strict=True))
 
 
-def chunk_stream(df: DataFrame, key: str, x: list[str], y: str, c: SmootherConfig, order_by: str, end: str | None = None, timeout_ms: int | None = None) -> DataFrame:
+def chunk_stream(df: DataFrame, key: str, x: list[str], y: str, c: SmootherConfig, order_by: str, end: str | None = None, timeout_ms: int | None = None, reset: str | None = None) -> DataFrame:
     """key, order, y, y_smooth, residual, rob_weight as blocks fill up.
 
     A series ends with a row whose boolean column ``end`` is true (its values are not used), or after
-    ``timeout_ms`` of processing time without rows; then the rest is given out and its state dropped.
+    ``timeout_ms`` of processing time without rows; then the rest is given out and its state dropped. A row whose
+    boolean column ``reset`` is true begins anew: what waits is given out before it, and nothing is carried over to it.
     """
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names = [key, order_by, "y", "y_smooth", "residual", "rob_weight"]
@@ -105,10 +109,16 @@ def chunk_stream(df: DataFrame, key: str, x: list[str], y: str, c: SmootherConfi
             pdf = pd.concat(list(parts)).sort_values(order_by, kind="stable")
             over = bool(end) and bool(pdf[end].any())
             new = pdf[~pdf[end].astype(bool)] if end else pdf
-            own.place += new[order_by].tolist()
-            own.x += new[x].to_numpy(np.float64).ravel().tolist()
-            own.y += new[y].astype(float).tolist()
-            out = own.ready()
+            begins = np.flatnonzero(new[reset].astype(bool)).tolist() if reset else []
+            for first, after in zip([0, *begins], [*begins, len(new)], strict=True):
+                if first in begins:
+                    out += own.flush()
+                    own = ChunkState(c, [], [], [], 0, [], [])
+                part = new.iloc[first:after]
+                own.place += part[order_by].tolist()
+                own.x += part[x].to_numpy(np.float64).ravel().tolist()
+                own.y += part[y].astype(float).tolist()
+                out += own.ready()
             if over:
                 out += own.flush()
                 if state.exists:

@@ -126,6 +126,55 @@ def test_online_stream_equals_batch(spark, events, tmp_path):
     assert got.keys() == want.keys() and all(np.allclose(none(got[k]), none(want[k]), equal_nan=True) for k in want)
 
 
+@pytest.mark.parametrize("options", [{"surface_mode": "direct", "boundary_policy": "none"}, {"update_mode": "full", "iterations": 2}])
+def test_a_reset_empties_the_window(spark, events, tmp_path, options):
+    c = SmootherConfig(adapter="online", window_capacity=8, fraction=0.7, **options)
+    few = events.filter("user_id < 3").withColumn("anew", F.col("x").isin(5.0, 20.0))
+    got = by_key(run_stream(Smoother(c).stream_online(stream_of(spark, tmp_path, few, ["x <= 9", "x > 9"]), "user_id", "x", "y", "x", "anew"), tmp_path, "reset"), "y_smooth", "window_rows")
+    parts = few.withColumn("part", (F.col("x") >= 5).cast("int") + (F.col("x") >= 20).cast("int"))
+    want = by_key(Smoother(c).smooth_online(parts, "x", "y", ["user_id", "part"]), "y_smooth", "window_rows")
+    none = lambda t: [np.nan if v is None else v for v in t]
+    assert got.keys() == want.keys() and all(np.allclose(none(got[k]), none(want[k]), equal_nan=True) for k in want)
+
+
+def test_a_reset_begins_chunks_anew(spark, events, tmp_path):
+    c = SmootherConfig(adapter="streaming", chunk_size=10, overlap=3, fraction=0.5)
+    few = events.filter("user_id < 3").withColumn("anew", F.col("x") == 18)
+    ends = few.select("user_id").distinct().select("user_id", F.lit(1e9).alias("x"), F.lit(0.0).alias("y"), F.lit(False).alias("anew"), F.lit(True).alias("over"))
+    df = few.withColumn("over", F.lit(False)).unionByName(ends)
+    got = by_key(run_stream(Smoother(c).stream_chunks(stream_of(spark, tmp_path, df, ["x <= 13", "x > 13"]), "user_id", "x", "y", "x", "over", None, "anew"), tmp_path, "anew"), "y_smooth")
+    want = by_key(Smoother(c).smooth_chunks(few.withColumn("part", F.col("x") >= 18), "x", "y", ["user_id", "part"]), "y_smooth")
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_long_series_are_split_without_a_seam(spark, monkeypatch):
+    from driftline.operators import chunks, online
+
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, float(i) + rng.random() / 2, float(rng.normal())) for k in range(2) for i in range(200 + k)], "user_id int, x double, y double")
+    streaming = Smoother(adapter="streaming", chunk_size=10, overlap=4, fraction=0.5)
+    live = Smoother(adapter="online", window_capacity=9, fraction=0.6, surface_mode="direct", boundary_policy="none")
+    a, b = by_key(streaming.smooth_chunks(df, "x", "y", "user_id"), "chunk", "y_smooth", "rob_weight"), by_key(live.smooth_online(df, "x", "y", "user_id"), "y_smooth", "window_rows")
+    monkeypatch.setattr(chunks, "TOGETHER", 2)
+    monkeypatch.setattr(online, "SEGMENT", 16)
+    assert by_key(streaming.smooth_chunks(df, "x", "y", "user_id"), "chunk", "y_smooth", "rob_weight") == a
+    again = by_key(live.smooth_online(df, "x", "y", "user_id"), "y_smooth", "window_rows")
+    assert again.keys() == b.keys() and all(again[k][1] == b[k][1] and (b[k][0] is None) == (again[k][0] is None) and np.isclose(again[k][0] or 0, b[k][0] or 0) for k in b)
+
+
+def test_series_longer_than_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame([(k, float(i), float((i * k) % 5)) for k in range(5) for i in range(3 + 9 * k)], "user_id int, x double, y double")
+        got = by_key(Smoother(fraction=0.8).fit(df, "x", "y", "user_id").points, "y_smooth")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(5):
+        x = np.arange(3 + 9 * k, dtype=float)
+        want = N.fit_series(x[:, None], (x * k) % 5, SmootherConfig(fraction=0.8)).y
+        assert np.allclose([got[k, i][0] for i in x], want)
+
+
 def test_incremental_equals_full_without_reweighting(spark, events):
     one = events.filter("user_id = 2")
     a, b = (by_key(Smoother(adapter="online", window_capacity=10, fraction=0.5, iterations=0, update_mode=m).smooth_online(one, "x", "y", "user_id"), "y_smooth") for m in ("incremental", "full"))

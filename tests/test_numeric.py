@@ -263,3 +263,27 @@ def test_windows_at_once_equal_one_by_one(d, metric):
     want = [N.smooth(x[k - 12 : k], y[k - 12 : k], c, iterations=0).y[-1] for k in range(12, 41)]
     assert np.allclose(N.full_windows(x, y, c), want)
     assert N.online_value(x[:7], y[:7], c)[0] == pytest.approx(N.smooth(x[:7], y[:7], c, iterations=0).y[-1])
+
+
+@pytest.mark.parametrize("d", [1, 2])
+def test_a_query_leaves_its_own_point_out(d):
+    rng = np.random.default_rng(d)
+    x = np.round(rng.random((60, d)) * 5) if d == 2 else np.sort(rng.integers(0, 40, (60, 1)), axis=0).astype(float)
+    near = N.Neighbours(x, SmootherConfig(dimensions=d, distance_metric="euclidean"), N.scales_of(x))
+    index, gap = near.find(x, 7, skip=np.arange(60))
+    assert index.shape == (60, 7) and (index != np.arange(60)[:, None]).all()
+    for k in range(60):
+        own = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+        assert np.allclose(np.sort(gap[k]), np.sort(np.delete(own, k))[:7])
+
+
+@pytest.mark.parametrize("d", [1, 2])
+def test_fits_by_blocks_equal_fits_at_once(d, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = (np.sort(rng.random((300, d)), axis=0), rng.normal(size=300))
+    c = SmootherConfig(dimensions=d, fraction=0.4, surface_mode="direct", iterations=3, confidence_level=0.9)
+    whole = N.fit_series(x, y, c)
+    monkeypatch.setattr(N, "KEPT", 1000)
+    monkeypatch.setattr(N, "BLOCK", 5000)
+    parts = N.fit_series(x, y, c)
+    assert np.allclose(whole.y, parts.y) and np.allclose(whole.leverage, parts.leverage) and np.allclose(whole.weights, parts.weights)
