@@ -18,8 +18,6 @@ from driftline.config import SmootherConfig
 from driftline.operators.numeric import Fit, cross_validate, fit_series, predict, span, window_se
 from driftline.operators.series import map_series, numbers
 
-#: Rows of the largest series that one task takes; longer one-dimensional ones belong to plans.surface.
-MAX_GROUP_ROWS = 200_000
 _HAT = ("enp", "trace_hat", "delta1", "delta2", "residual_scale")
 _DIAGNOSTICS = ("rmse", "mae", "r_squared", "aic", "aicc", "effective_df", "residual_sd")
 
@@ -84,11 +82,12 @@ def checked(df: DataFrame, x: list[str], y: str, na: str = "raise") -> DataFrame
     return df.withColumn("_ok", F.when(bad, F.raise_error(F.lit("predictors and responses must be finite"))).otherwise(True)).filter("_ok").drop("_ok")
 
 
-def fit_groups(df: DataFrame, keys: list[str], x: list[str], y: str, c: SmootherConfig, order_by: list[str] | None = None, na: str = "raise", max_group_rows: int = MAX_GROUP_ROWS, custom_fit: Callable[[np.ndarray, np.ndarray, SmootherConfig], Fit] | None = None) -> DataFrame:
+def fit_groups(df: DataFrame, keys: list[str], x: list[str], y: str, c: SmootherConfig, order_by: list[str] | None = None, na: str = "raise", max_group_rows: int | None = None, custom_fit: Callable[[np.ndarray, np.ndarray, SmootherConfig], Fit] | None = None) -> DataFrame:
     """``df`` with the columns of ``point_fields`` and, in the first row of each series, ``_summary``.
 
     Rows of a series are taken in the order of ``order_by``, by default the predictors. Without keys the
-    whole table is one series. ``custom_fit`` takes the place of the built-in fit of a series.
+    whole table is one series. ``custom_fit`` takes the place of the built-in fit of a series. A task holds a whole series
+    and fits it in blocks of bounded size; ``max_group_rows`` refuses longer ones, for which plans.surface takes many tasks.
     """
     if len(x) != c.dimensions:
         raise E.MismatchedInputs(f"{len(x)} predictor columns, {c.dimensions} dimensions")
@@ -100,7 +99,7 @@ def fit_groups(df: DataFrame, keys: list[str], x: list[str], y: str, c: Smoother
         parts: dict[str, list[np.ndarray]] = {k: [] for k in point_fields(c)}
         facts: list[dict | None] = [None] * len(values)
         for first, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if end - first > max_group_rows:
+            if max_group_rows and end - first > max_group_rows:
                 raise E.InvalidInput(f"a series has {end - first} rows, more than {max_group_rows}; one-dimensional ones can be fitted by fit_surface")
             fit = (custom_fit or fit_series)(points[first:end], values[first:end], c)
             for k, v in _columns(fit, values[first:end], c).items():

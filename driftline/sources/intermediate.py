@@ -7,9 +7,11 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_stored: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +31,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: computed once, and safe from the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
@@ -36,6 +39,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete what ``stored`` wrote for ``df``; nothing may read it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession.sparkContext, df.stored_path)
+
+
+def discard_all() -> None:
+    """Delete all that this process has stored; results that were not written elsewhere can no longer be read.
+
+    A driver that ends while its session is alive does this by itself.
+    """
+    context = SparkContext._active_spark_context
+    while _stored and context is not None:
+        _delete(context, _stored[-1])
+
+
+def _delete(context: SparkContext, name: str) -> None:
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if name in _stored:
+        _stored.remove(name)
+
+
+atexit.register(discard_all)
