@@ -6,6 +6,7 @@ stacks of small normal equations. Nothing here imports Spark.
 
 from __future__ import annotations
 
+import copy
 import itertools
 import math
 from collections import deque
@@ -180,19 +181,36 @@ def solve(normal: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     Singular ones get the least-norm solution with an absolute cut-off of 100 epsilon.
     """
-    diagonal = np.einsum("kii->ki", normal)
+    diagonal = np.diagonal(normal, axis1=1, axis2=2)
     scale = np.where(diagonal > EPS, 1 / np.sqrt(np.where(diagonal > EPS, diagonal, 1)), 1.0)
     a = normal * scale[:, :, None] * scale[:, None, :]
     b = right * scale
-    values, vectors = np.linalg.eigh(a)
-    inverse = np.where(values > 100 * EPS, 1 / np.where(values > 100 * EPS, values, 1), 0.0)
-    beta = np.einsum("kij,kj,klj,kl->ki", vectors, inverse, vectors, b, optimize=True)
-    lever = np.einsum("kj,kj->k", vectors[:, 0, :] ** 2, inverse)
-    if (sound := values[:, 0] > 1e-9).any():
-        beta[sound] = np.linalg.solve(a[sound], b[sound][..., None])[..., 0]
+    beta, lever = np.empty_like(b), np.empty(len(b))
+    sound = _least_eigenvalue(a) > 1e-9
+    if sound.any():
+        first = np.zeros_like(b[sound])
+        first[:, 0] = 1
+        both = np.linalg.solve(a[sound], np.stack([b[sound], first], axis=-1))
+        beta[sound], lever[sound] = both[..., 0], both[:, 0, 1]
+    if not sound.all():
+        values, vectors = np.linalg.eigh(a[~sound])
+        inverse = np.where(values > 100 * EPS, 1 / np.where(values > 100 * EPS, values, 1), 0.0)
+        inner = np.matmul(vectors.transpose(0, 2, 1), b[~sound][..., None])[..., 0] * inverse
+        beta[~sound] = np.matmul(vectors, inner[..., None])[..., 0]
+        lever[~sound] = (vectors[:, 0, :] ** 2 * inverse).sum(axis=1)
     return beta * scale, lever * scale[:, 0] ** 2
 
 
+def _least_eigenvalue(a: np.ndarray) -> np.ndarray:
+    """The least eigenvalues of a stack of symmetric matrices; those of one and two rows in closed form."""
+    if a.shape[1] == 1:
+        return a[:, 0, 0]
+    if a.shape[1] == 2:
+        middle, half = (a[:, 0, 0] + a[:, 1, 1]) / 2, (a[:, 0, 0] - a[:, 1, 1]) / 2
+        return middle - np.hypot(half, a[:, 0, 1])
+    return np.linalg.eigvalsh(a)[:, 0]
+
+
 @dataclass
 class LocalFits:
     """Neighbourhoods of some queries with their kernel weights, to be fitted under changing robustness."""
@@ -211,6 +229,12 @@ class LocalFits:
         weigh = self.config.custom_weight or (lambda u: kernel(self.config.weight_function, u))
         self.weight = weigh(self.gap / np.where(self.reach > EPS, self.reach, 1.0)[:, None])
 
+    def subset(self, use: np.ndarray) -> LocalFits:
+        """The fits of some of the queries, with the weights that they have."""
+        out = copy.copy(self)
+        out.queries, out.index, out.gap, out.reach, out.weight = (x[use] for x in (self.queries, self.index, self.gap, self.reach, self.weight))
+        return out
+
     def weighted_mean(self, robust: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weighted means (plain ones where all weights vanish) and the sums of weights."""
         w = self.weight * robust[self.index]
@@ -230,7 +254,8 @@ class LocalFits:
             w = np.where(w > EPS, w, 0.0)
             b = basis(self.points[self.index[part]] - self.queries[part, None, :], degree)
             wb = b * w[..., None]
-            beta[part], lever[part] = solve(np.einsum("kqi,kqj->kij", wb, b, optimize=True), np.einsum("kqi,kq->ki", wb, self.y[self.index[part]], optimize=True))
+            turned = wb.transpose(0, 2, 1)
+            beta[part], lever[part] = solve(np.matmul(turned, b), np.matmul(turned, self.y[self.index[part]][..., None])[..., 0])
         return beta, lever
 
     def values(self, robust: np.ndarray, own: np.ndarray, fallback: str) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +283,7 @@ class LocalFits:
             fit &= total > EPS
         for deg, use in ((degree, fit & ~linear), (min(1, degree), fit & linear)):
             if use.any():
-                sub = LocalFits(self.points, self.y, self.queries[use], self.index[use], self.gap[use], self.config)
+                sub = self if use.all() else self.subset(use)
                 out[use] = sub.coefficients(robust, deg)[0][:, : d + 1]
         return out
 
@@ -300,6 +325,9 @@ class Surface:
         self.cells: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
         self._grow(low - margin, high + margin, max(1, math.floor(len(y) * (c.cell or 0.2) * c.fraction)))
         self.vertex = np.array(list(self.corners), np.float64).reshape(-1, self.d)
+        self.inner = np.array([s is not None for s in self.split])
+        self.cut_of = [np.array([s[k] if s else 0 for s in self.split]) for k in range(4)]
+        self.box = [np.array([c[k] for c in self.cells]) for k in range(3)]
         self.fits = LocalFits(x, y, self.vertex, *neighbours.find(self.vertex, q), c)
         self.linear = self._outside(low, high)
         self.data = self.fits.vertices(robust, self.linear)
@@ -368,13 +396,11 @@ class Surface:
     def evaluate(self, x: np.ndarray) -> np.ndarray:
         """Blended values at points."""
         cell = np.zeros(len(x), np.int64)
-        inner = np.array([s is not None for s in self.split])
-        dim, cut, left, right = (np.array([s[k] if s else 0 for s in self.split]) for k in range(4))
-        while (go := inner[cell]).any():
+        dim, cut, left, right = self.cut_of
+        while (go := self.inner[cell]).any():
             at = cell[go]
             cell[go] = np.where(x[go, dim[at]] <= cut[at], left[at], right[at])
-        low, high = (np.array([c[k] for c in self.cells])[cell] for k in (0, 1))
-        corner = np.array([c[2] for c in self.cells])[cell]
+        low, high, corner = (x[cell] for x in self.box)
         data = self.data[corner]  # point, corner, value and slopes
         for k in range(self.d - 1, -1, -1):
             width = high[:, k] - low[:, k]
