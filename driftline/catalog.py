@@ -300,9 +300,10 @@ def _engine(spark: SparkSession, d: str) -> Smoothed:
     return Smoother(_ENGINE).fit(user_activity(spark, d).drop("n"), "x", "y", "user_id")
 
 
-_HAT = f"""{_DIRECT}, o AS (SELECT *, abs(y - fit) AS r, row_number() OVER (PARTITION BY user_id ORDER BY abs(y - fit)) AS nth FROM f),
+_HAT_TAIL = """o AS (SELECT *, abs(y - fit) AS r, row_number() OVER (PARTITION BY user_id ORDER BY abs(y - fit)) AS nth FROM f),
 h0 AS (SELECT user_id, max(n) AS n, sum(leverage) AS trace_hat, sum(leverage * leverage) AS l2, sum(r * r) AS rss, max(CASE WHEN nth = n // 2 + 1 THEN r END) AS mid FROM o GROUP BY user_id),
 h1 AS (SELECT *, n - 2 * trace_hat + l2 AS delta1 FROM h0), h AS (SELECT *, delta1 * delta1 / n AS delta2, CASE WHEN delta1 > 0 THEN sqrt(rss / delta1) ELSE 0.0 END AS residual_scale, 1.4826 * mid AS sigma FROM h1)"""
+_HAT = f"{_DIRECT}, {_HAT_TAIL}"
 _add("hat_statistics", lambda spark, d: _engine(spark, d).summary.select("user_id", *(_r(c, c) for c in ("trace_hat", "delta1", "delta2", "residual_scale"))), f"{_HAT} SELECT user_id, round(trace_hat, 6) AS trace_hat, round(delta1, 6) AS delta1, round(delta2, 6) AS delta2, round(residual_scale, 6) AS residual_scale FROM h")
 #: Fixed value: the usual rounded normal quantile of 95 percent.
 _Z = 1.96
@@ -389,7 +390,6 @@ def _grouped(options: dict, digits: int = 6) -> Query:
 
 _add("smooth_cubic_direct", _grouped({"degree": 3, "fraction": 0.6, "surface_mode": "direct"}))
 _add("smooth_quartic", _grouped({"degree": 4, "fraction": 0.7}))
-_add("smooth_intervals", _grouped({"surface_mode": "direct", "confidence_level": 0.95, "prediction_level": 0.95, "return_residuals": True, "return_robustness_weights": True}))
 _add("online_full", lambda spark, d: online.fit_online(user_activity(spark, d).drop("n"), ["user_id"], ["x"], "y", _ONLINE.but(update_mode="full", iterations=3)))
 
 
@@ -471,8 +471,12 @@ _ENDS_SQL = {
 }
 
 
-def _surface_sql(series: str, fraction: float, passes: int = 1, degree: int = 1, boundary: str = "extend", method: str = "bisquare", scaling: str = "mad") -> str:
-    """Common table expressions up to ``e{passes - 1}``: user_id, x, y, n, fit of the interpolation surface, and rob_weight."""
+#: The cuts of the cells and the ends of the box.
+_VERTICES = "SELECT DISTINCT c.user_id, x AS v, false AS outside FROM c JOIN p ON c.user_id = p.user_id AND p.pos = (lo + hi) // 2 WHERE hi - lo + 1 > fc UNION SELECT user_id, low - 0.005 * (high - low), true FROM b UNION SELECT user_id, high + 0.005 * (high - low), true FROM b"
+
+
+def _surface_sql(series: str, fraction: float, passes: int = 1, degree: int = 1, boundary: str = "extend", method: str = "bisquare", scaling: str = "mad", direct: bool = False) -> str:
+    """Common table expressions up to ``e{passes - 1}`` (user_id, x, y, n, fit) and ``rw{passes - 1}``: the interpolation surface, or direct fits at all rows."""
     scale = _guard({"mad": "spread", "mar": "med"}[scaling])
     weight = re.sub(r"\bs\b", "sc", _WEIGHT_SQL[method])
     out = f"""WITH RECURSIVE {series}, a AS MATERIALIZED (SELECT *, greatest(2, least(n, CAST(floor(n * {fraction} + 1e-5) AS BIGINT))) AS q, row_number() OVER (PARTITION BY user_id ORDER BY x) - 1 AS pos FROM s0),
@@ -481,7 +485,7 @@ i AS (SELECT unnest(range(1, 2000)) AS i), p0 AS (SELECT user_id, x, y, x AS sou
 b AS (SELECT p.user_id, max(q) AS q, count(*) AS m, min(x) AS low, max(x) AS high FROM p JOIN ends ON p.user_id = ends.user_id GROUP BY p.user_id),
 c AS (SELECT user_id, CAST(0 AS BIGINT) AS lo, m - 1 AS hi, greatest(1, CAST(floor(m * 0.2 * {fraction}) AS BIGINT)) AS fc FROM b
   UNION ALL SELECT user_id, CASE WHEN side = 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN side = 0 THEN (lo + hi) // 2 ELSE hi END, fc FROM c, (SELECT unnest([0, 1]) AS side) WHERE hi - lo + 1 > fc),
-v AS MATERIALIZED (SELECT DISTINCT c.user_id, x AS v, false AS outside FROM c JOIN p ON c.user_id = p.user_id AND p.pos = (lo + hi) // 2 WHERE hi - lo + 1 > fc UNION SELECT user_id, low - 0.005 * (high - low), true FROM b UNION SELECT user_id, high + 0.005 * (high - low), true FROM b),
+v AS MATERIALIZED ({"SELECT user_id, x AS v, false AS outside FROM a" if direct else _VERTICES}),
 near AS (SELECT * FROM (SELECT v.user_id, v AS qx, outside, x, y, q, source, abs(x - v) AS d, row_number() OVER (PARTITION BY v.user_id, v ORDER BY abs(x - v), x) AS nth FROM v JOIN p ON v.user_id = p.user_id JOIN b ON v.user_id = b.user_id) WHERE nth <= q),
 {_weights().replace("w AS", "wp AS MATERIALIZED", 1)}"""
     for k in range(passes):
@@ -493,11 +497,18 @@ ad{k} AS (SELECT r.user_id, median(abs(r - med)) AS spread, max(med) AS med, max
         if degree > 1:  # vertices beyond the data are fitted by lines
             value, slope = (f"CASE WHEN outside THEN {line} ELSE {own} END" for line, own in zip(_VERTEX[1], _VERTEX[degree], strict=True))
         moments = _MOMENTS.replace("m AS", f"m{k} AS", 1).replace("SELECT user_id, qx,", "SELECT user_id, qx, any_value(outside) AS outside,", 1).replace("FROM w GROUP", f"FROM w{k} GROUP", 1)
-        out += f""", w{k} AS ({weighed}), {moments}, t{k} AS (SELECT user_id, qx AS v, {value} AS f, {slope} AS g FROM m{k}),
-cells{k} AS (SELECT user_id, v AS a, f AS fa, g AS ga, lead(v) OVER o AS b, lead(f) OVER o AS fb, lead(g) OVER o AS gb FROM t{k} WINDOW o AS (PARTITION BY user_id ORDER BY v)),
+        out += f""", w{k} AS ({weighed}), {moments}, t{k} AS (SELECT user_id, qx AS v, {value} AS f, {slope} AS g, {_LEVER} AS leverage FROM m{k}),
+{_blend_sql(k, direct)}"""
+    return out
+
+
+def _blend_sql(k: int, direct: bool) -> str:
+    """``e{k}`` from the vertices ``t{k}``."""
+    if direct:
+        return f"e{k} AS MATERIALIZED (SELECT s.user_id, s.x, s.y, s.n, f AS fit, leverage FROM a s JOIN t{k} t ON s.user_id = t.user_id AND s.x = t.v)"
+    return f"""cells{k} AS (SELECT user_id, v AS a, f AS fa, g AS ga, lead(v) OVER o AS b, lead(f) OVER o AS fb, lead(g) OVER o AS gb FROM t{k} WINDOW o AS (PARTITION BY user_id ORDER BY v)),
 h{k} AS (SELECT s.user_id, s.x, s.y, s.n, fa, fb, ga, gb, b - a AS w, (s.x - c.a) / (b - a) AS h FROM a s JOIN cells{k} c ON s.user_id = c.user_id AND s.x > c.a AND s.x <= b),
 e{k} AS MATERIALIZED (SELECT user_id, x, y, n, (1 - h) * (1 - h) * (1 + 2 * h) * fa + h * h * (3 - 2 * h) * fb + (h * (1 - h) * (1 - h) * ga + h * h * (h - 1) * gb) * w AS fit FROM h{k})"""
-    return out
 
 
 _SIGMA = "u AS (SELECT user_id, max(CASE WHEN nth = n // 2 + 1 THEN r END) AS mid FROM (SELECT user_id, n, abs(y - fit) AS r, row_number() OVER (PARTITION BY user_id ORDER BY abs(y - fit)) AS nth FROM e0) GROUP BY user_id)"
@@ -510,6 +521,14 @@ _LAST = "SELECT user_id, x, round(fit, 5) + 0.0 AS y_smooth FROM e2"
 _add("smooth_default", _grouped({}, 5), f"{_surface_sql(_USERS, 0.67, 3)} {_LAST}")
 _add("smooth_quadratic", _grouped({"degree": 2, "fraction": 0.5}, 5), f"{_surface_sql(_USERS, 0.5, 3, 2)} {_LAST}")
 _add("smooth_huber_reflect", _grouped({"robustness_method": "huber", "scaling_method": "mar", "boundary_policy": "reflect"}, 5), f"{_surface_sql(_USERS, 0.67, 3, 1, 'reflect', 'huber', 'mar')} {_LAST}")
+_add(
+    "smooth_intervals",
+    _grouped({"surface_mode": "direct", "confidence_level": _LEVEL, "prediction_level": _LEVEL, "return_residuals": True, "return_robustness_weights": True}, 5),
+    f"""{_surface_sql(_USERS, 0.67, 3, direct=True)}, f AS (SELECT * FROM e2), {_HAT_TAIL},
+    t AS (SELECT f.*, sigma * sqrt(leverage) AS se, residual_scale AS sd, CASE WHEN delta1 * delta1 / delta2 > 2 THEN {_Z} * sqrt((delta1 * delta1 / delta2) / (delta1 * delta1 / delta2 - 2)) ELSE 1.5 * {_Z} END AS t FROM f JOIN h ON f.user_id = h.user_id)
+    SELECT t.user_id, t.x, round(fit, 5) + 0.0 AS y_smooth, round(se, 5) + 0.0 AS std_err, round(fit - t * se, 5) + 0.0 AS conf_lower, round(fit + t * se, 5) + 0.0 AS conf_upper, round(fit - t * sqrt(se * se + sd * sd), 5) + 0.0 AS pred_lower,
+    round(fit + t * sqrt(se * se + sd * sd), 5) + 0.0 AS pred_upper, round(y - fit, 5) + 0.0 AS residual, round(rw, 5) + 0.0 AS rob_weight, round(leverage, 5) + 0.0 AS leverage FROM t JOIN rw2 r ON t.user_id = r.user_id AND t.x = r.x""",
+)
 _add(
     "surface_large_series",
     lambda spark, d: Smoother(fraction=0.2).fit_large(daily_revenue(spark, d), "x", "y").select("x", _r("y", "y", 4), _r("y_smooth", "y_smooth", 3), _r("rob_weight", "rob_weight")),
