@@ -425,7 +425,7 @@ def _folds_sql(fractions: tuple[float, ...], folds: int | None) -> str:
 
 
 _SCORED = "SELECT p_brand, CAST(fraction AS DOUBLE) AS fraction, round(score, 6) + 0.0 AS score"
-_BEST = "fraction = first_value(fraction) OVER (PARTITION BY p_brand ORDER BY score, fraction) AS best FROM scores"
+_BEST = "fraction = min(CASE WHEN score <= least * (1 + 1e-9) THEN fraction END) OVER (PARTITION BY p_brand) AS best FROM (SELECT *, min(score) OVER (PARTITION BY p_brand) AS least FROM scores)"
 
 
 def _validated(fractions: tuple[float, ...], folds: int | None) -> Query:

@@ -8,14 +8,14 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from driftline import errors as E
 from driftline.config import SmootherConfig
-from driftline.operators.numeric import Fit, cross_validate, fit_series, predict, span, window_se
+from driftline.operators.numeric import TIED, Fit, cross_validate, fit_series, predict, span, window_se
 from driftline.operators.series import map_series, numbers
 
 _HAT = ("enp", "trace_hat", "delta1", "delta2", "residual_scale")
@@ -154,5 +154,7 @@ def cross_validate_groups(df: DataFrame, keys: list[str], x: list[str], y: str,
         return {"score": scores, None: ~np.isnan(scores)}
 
     scored = map_series(rows, [*keys, "_at"], x, work, [T.StructField("score", T.DoubleType())], [*x, y])
-    best = scored.groupBy(*keys).agg(F.min_by("_at", F.struct("score", "_at")).alias("_best"))
-    return scored.join(best, keys).select(*keys, "fraction", "score", (F.col("_at") == F.col("_best")).alias("best"))
+    series = Window.partitionBy(*keys)  # one row per candidate
+    scored = scored.withColumn("_least", F.min("score").over(series))
+    best = F.min(F.when(F.col("score") <= F.col("_least") * (1 + TIED), F.col("_at"))).over(series)
+    return scored.select(*keys, "fraction", "score", (F.col("_at") == best).alias("best"))

@@ -561,6 +561,10 @@ def fold_rows(n: int, cv: CrossValidation) -> list[np.ndarray]:
     return [order[k * size : n if k == cv.folds - 1 else (k + 1) * size] for k in range(cv.folds)]
 
 
+#: Scores that differ by less, relatively, are equal.
+TIED = 1e-9
+
+
 def cross_validate(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> tuple[float, list[float]]:
     """The best candidate span (the first of equals) and the score of each."""
     cv = c.cross_validation
@@ -575,7 +579,7 @@ def cross_validate(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> tuple[flo
             scores.append(math.sqrt(sum(float(e.sum()) for e in errors) / n))
         else:
             scores.append(sum(math.sqrt(float(e.mean())) for e in errors) / cv.folds)
-    return cv.fractions[int(np.argmin(scores))], scores
+    return cv.fractions[int(np.argmax(np.array(scores) <= min(scores) * (1 + TIED)))], scores
 
 
 # --- diagnostics and intervals -----------------------------------------------------------------------
