@@ -35,7 +35,10 @@ def neighbours(series: DataFrame, key: str, at: DataFrame | None = None, exclude
     queries = queries.withColumn("reach", F.greatest(F.abs(F.col("qx") - F.col("_first")), F.abs(F.col("_last") - F.col("qx"))))
     # a stretch of q ranks lies in two buckets at most; a query goes to both, and each rank stays in its own
     queries = queries.withColumn("_b", F.explode(F.array_distinct(F.array(bucket("_first"), bucket("_last"))))).drop("n", "q")
-    near = queries.join(series.withColumn("_b", bucket("x")), [key, "_b"]).filter("x BETWEEN _first AND _last")
+    # each query meets q rows: a number of partitions is given, as AQE would merge those of small tables before they grow
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(parts, key, "_b")
+    near = dealt(queries).join(dealt(series.withColumn("_b", bucket("x"))), [key, "_b"]).filter("x BETWEEN _first AND _last")
     near = near.filter("x <> qx") if exclude_self else near
     return near.withColumn("d", F.abs(F.col("x") - F.col("qx"))).drop("_first", "_last")
 
