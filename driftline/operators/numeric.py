@@ -528,16 +528,33 @@ def shuffled(n: int, seed: int | None) -> np.ndarray:
     return np.array(order, np.int64)
 
 
+def bracket(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of sorted ``x`` next to the places ``at`` and the share of the right one; beyond the ends both are the outermost row."""
+    last = len(x) - 1
+    right = np.clip(np.searchsorted(x, at, side="left"), min(1, last), last)
+    left = np.maximum(right - 1, 0)
+    for row, outside in ((last, at >= x[-1]), (0, at <= x[0])):
+        left, right = np.where(outside, row, left), np.where(outside, row, right)
+    width = x[right] - x[left]
+    share = np.where(width > 0, np.clip((at - x[left]) / np.where(width > 0, width, 1), 0, 1), 0.5)
+    return left, right, share
+
+
 def between(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Linear interpolation over sorted ``x``, constant beyond the ends; the mean between equal places."""
     if not len(x):
         return np.zeros(len(at))
-    right = np.clip(np.searchsorted(x, at, side="left"), 1, max(len(x) - 1, 1)) if len(x) > 1 else np.zeros(len(at), np.int64)
-    left = np.maximum(right - 1, 0)
-    width = x[right] - x[left]
-    share = np.clip((at - x[left]) / np.where(width > 0, width, 1), 0, 1)
-    middle = np.where(width > 0, y[left] + share * (y[right] - y[left]), (y[left] + y[right]) / 2)
-    return np.where(at <= x[0], y[0], np.where(at >= x[-1], y[-1], middle))
+    left, right, share = bracket(x, at)
+    return y[left] + share * (y[right] - y[left])
+
+
+def _fit_at(x: np.ndarray, y: np.ndarray, rows: np.ndarray, c: SmootherConfig) -> np.ndarray:
+    """Values of ``smooth`` at some rows; a direct fit that is not reweighted needs no others for that."""
+    if c.surface_mode != "direct" or c.iterations > 1:
+        return smooth(x, y, c).y[rows]
+    q = span(len(y), c.fraction)
+    px, py, _ = pad(x, y, c.boundary_policy, q)
+    return local_fits(px, py, x[rows], Neighbours(px, c, scales_of(px)), q, c).values(np.ones(len(py)), y[rows], c.zero_weight_fallback)[0]
 
 
 def _held_out_error(x: np.ndarray, y: np.ndarray, test: np.ndarray, c: SmootherConfig) -> np.ndarray:
@@ -549,8 +566,12 @@ def _held_out_error(x: np.ndarray, y: np.ndarray, test: np.ndarray, c: SmootherC
         return (y[test] - predict(tx, ty, x[test], c)) ** 2
     order = np.argsort(tx[:, 0], kind="stable")
     tx, ty = tx[order], ty[order]
-    guess = between(tx[:, 0], smooth(tx, ty, c).y if len(ty) > 1 else ty, x[test, 0])
-    return (y[test] - guess) ** 2
+    if len(ty) < 2:
+        return (y[test] - between(tx[:, 0], ty, x[test, 0])) ** 2
+    left, right, share = bracket(tx[:, 0], x[test, 0])
+    rows, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    low, high = _fit_at(tx, ty, rows, c)[place].reshape(2, -1)
+    return (y[test] - low - share * (high - low)) ** 2
 
 
 def fold_rows(n: int, cv: CrossValidation) -> list[np.ndarray]:

@@ -287,3 +287,18 @@ def test_fits_by_blocks_equal_fits_at_once(d, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 5000)
     parts = N.fit_series(x, y, c)
     assert np.allclose(whole.y, parts.y) and np.allclose(whole.leverage, parts.leverage) and np.allclose(whole.weights, parts.weights)
+
+
+@pytest.mark.parametrize("seed", [None, 3])
+@pytest.mark.parametrize("policy, iterations", [("none", 1), ("extend", 1), ("none", 3)])
+def test_folds_fit_only_the_rows_that_the_held_out_ones_lie_between(seed, policy, iterations, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = np.round(np.sort(rng.random((90, 1)), axis=0), 2), rng.normal(size=90)
+    c = SmootherConfig(fraction=0.4, surface_mode="direct", boundary_policy=policy, iterations=iterations)
+    folds = N.fold_rows(90, CrossValidation((0.4,), 5, seed))
+    want = [(y[t] - np.interp(x[t, 0], np.delete(x[:, 0], t), N.smooth(np.delete(x, t, 0), np.delete(y, t), c).y)) ** 2 for t in folds]
+    asked, fits = [], N.local_fits
+    monkeypatch.setattr(N, "local_fits", lambda *a: asked.append(len(a[2])) or fits(*a))
+    got = [N._held_out_error(x, y, t, c) for t in folds]
+    assert np.allclose(np.concatenate(got), np.concatenate(want))
+    assert iterations > 1 or max(asked) <= (2 * 18 if seed else 6)
