@@ -48,6 +48,10 @@ def kernel(name: str, u: np.ndarray) -> np.ndarray:
     return np.where(u < 1, inside, 0.0)
 
 
+#: Kernels that are polynomials of the scaled distance and vanish at 1: coefficients by power.
+POLYNOMIALS = {"tricube": {0: 1, 3: -3, 6: 3, 9: -1}, "epanechnikov": {0: 1, 2: -1}, "biweight": {0: 1, 2: -2, 4: 1}, "triangle": {0: 1, 1: -1}}
+
+
 def scales_of(x: np.ndarray) -> np.ndarray:
     """Per dimension 1 / range, or 1 where all values are equal."""
     width = x.max(axis=0) - x.min(axis=0)
@@ -79,6 +83,8 @@ class Neighbours:
     def __init__(self, points: np.ndarray, c: SmootherConfig, scales: np.ndarray):
         self.points, self.c, self.scales = points, c, scales
         self.order = np.argsort(points[:, 0], kind="stable") if points.shape[1] == 1 else None
+        self.line = None if self.order is None else points[self.order, 0]
+        self.factor = scales[0] if c.distance_metric == "normalized" else math.sqrt(c.metric_weights[0]) if c.distance_metric == "weighted" else 1.0
 
     def find(self, queries: np.ndarray, q: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Indices and distances of the ``q`` nearest, one row per query; ``skip`` has the point that each query leaves out."""
@@ -90,21 +96,20 @@ class Neighbours:
         q = min(q, len(self.points))
         if self.order is None:
             return self._by_blocks(queries, q)
-        x = self.points[self.order, 0]
         v = queries[:, 0]
+        index = self.order[self.stretch(v, q)[:, None] + np.arange(q)]
+        return index, np.abs(self.points[index, 0] - v[:, None]) * self.factor
+
+    def stretch(self, v: np.ndarray, q: int) -> np.ndarray:
+        """Where on the line the ``q`` nearest points of each place begin."""
+        x = self.line
         low, high = np.zeros(len(v), np.int64), np.full(len(v), len(x) - q, np.int64)
         while (low < high).any():  # leftmost stretch whose left end is no farther than the point after its right end
             middle = (low + high) // 2
             right = np.minimum(middle + q, len(x) - 1)
             go = (low < high) & (v - x[middle] > x[right] - v)
             low, high = np.where(go, middle + 1, low), np.where(go, high, np.where(low < high, middle, high))
-        index = self.order[low[:, None] + np.arange(q)]
-        gap = np.abs(self.points[index, 0] - v[:, None])
-        if self.c.distance_metric == "normalized":
-            gap = gap * self.scales[0]
-        elif self.c.distance_metric == "weighted":
-            gap = gap * math.sqrt(self.c.metric_weights[0])
-        return index, gap
+        return low
 
     def _by_blocks(self, queries: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
         step = max(1, BLOCK // (len(self.points) * self.points.shape[1]))
@@ -304,10 +309,121 @@ class BlockwiseFits:
         return value, lever
 
 
-def local_fits(points: np.ndarray, y: np.ndarray, queries: np.ndarray, neighbours: Neighbours, q: int, c: SmootherConfig) -> LocalFits | BlockwiseFits:
-    if len(queries) * min(q, len(points)) > KEPT:
-        return BlockwiseFits(points, y, queries, neighbours, q, c)
-    return LocalFits(points, y, queries, *neighbours.find(queries, q), c)
+class Moments:
+    """Moments of the points of a line about the middles of nested stretches, from which kernel-weighted sums over any stretch follow.
+
+    Every stretch within a neighbourhood is shorter than its reach, so that no power exceeds 1 and nothing cancels.
+    """
+
+    LEAF = 16
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, name: str, degree: int):
+        self.x, self.y, self.weight, self.name, self.degree = x, y, weight, name, degree
+        size = max(POLYNOMIALS[name]) + 2 * degree + 1
+        self.shift = np.zeros((2 * degree + 1, size, size))  # by power k: from powers of the middle to the Taylor coefficients of kernel(a) * a**k there
+        for k, (power, factor) in itertools.product(range(2 * degree + 1), POLYNOMIALS[name].items()):
+            for m in range(power + k + 1):
+                self.shift[k, power + k - m, m] += factor * math.comb(power + k, m)
+        self.levels = []
+        length = self.LEAF
+        while length <= len(x):
+            starts = np.arange(0, len(x), length)
+            ends = np.minimum(starts + length, len(x)) - 1
+            middle, half = (x[starts] + x[ends]) / 2, (x[ends] - x[starts]) / 2
+            own = np.arange(len(x)) // length
+            t = (x - middle[own]) / np.where(half > 0, half, 1)[own]
+            plain, times_y, power = np.empty((len(starts), size)), np.empty((len(starts), size)), weight
+            for m in range(size):
+                plain[:, m], times_y[:, m] = np.add.reduceat(power, starts), np.add.reduceat(power * y, starts)
+                power = power * t
+            self.levels.append((middle, half, plain, times_y))
+            length *= 2
+
+    def sums(self, v: np.ndarray, reach: np.ndarray, side: int, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of kernel(a) * a**k and, for half of the powers, of kernel(a) * a**k * y; a is the distance of points first to end - 1, all on one ``side``, by the reach."""
+        out, out_y = np.zeros((len(v), 2 * self.degree + 1)), np.zeros((len(v), self.degree + 1))
+        low, high = -(-first // self.LEAF), end // self.LEAF
+        for start, stop in ((first, np.minimum(low * self.LEAF, end)), (np.where(low <= high, np.maximum(high * self.LEAF, first), end), end)):
+            row = start[:, None] + np.arange(self.LEAF)
+            inside = row < stop[:, None]
+            row = np.where(inside, row, 0)
+            a = np.where(inside, side * (self.x[row] - v[:, None]) / reach[:, None], 1.0)
+            w = kernel(self.name, a) * self.weight[row]
+            for k in range(2 * self.degree + 1):
+                out[:, k] += w.sum(axis=1)
+                if k <= self.degree:
+                    out_y[:, k] += (w * self.y[row]).sum(axis=1)
+                w = w * a
+        for middle, half, plain, times_y in self.levels:
+            if not (low < high).any():
+                break
+            for left in (True, False):  # stretches that are no half of a longer one inside
+                use = np.flatnonzero((low < high) & ((low if left else high) % 2 == 1))
+                node = low[use] if left else high[use] - 1
+                (low if left else high)[use] += 1 if left else -1
+                at = np.vander(side * (middle[node] - v[use]) / reach[use], self.shift.shape[1], increasing=True)
+                scale = np.vander(side * half[node] / reach[use], self.shift.shape[1], increasing=True)
+                moments, moments_y = plain[node] * scale, times_y[node] * scale
+                for k in range(2 * self.degree + 1):
+                    taylor = at @ self.shift[k]
+                    out[use, k] += (taylor * moments).sum(axis=1)
+                    if k <= self.degree:
+                        out_y[use, k] += (taylor * moments_y).sum(axis=1)
+            low, high = low // 2, high // 2
+        return out, out_y
+
+
+class MomentFits:
+    """The values of ``LocalFits`` on a line under polynomial kernels, in time that grows with the logarithm of the neighbourhoods.
+
+    Neighbourhoods whose weights hardly determine a fit, where rounding would matter, are fitted point by point.
+    """
+
+    def __init__(self, points: np.ndarray, y: np.ndarray, queries: np.ndarray, neighbours: Neighbours, q: int, config: SmootherConfig):
+        self.points, self.y, self.queries, self.neighbours, self.q, self.config = points, y, queries, neighbours, min(q, len(points)), config
+        self.step = max(1, BLOCK // 200)
+
+    def values(self, robust: np.ndarray, own: np.ndarray, fallback: str) -> tuple[np.ndarray, np.ndarray]:
+        order = self.neighbours.order
+        moments = Moments(self.neighbours.line, self.y[order], robust[order], self.config.weight_function, self.config.degree)
+        value, lever, sound = np.empty(len(self.queries)), np.empty(len(self.queries)), np.empty(len(self.queries), bool)
+        for k in range(0, len(self.queries), self.step):
+            part = slice(k, k + self.step)
+            value[part], lever[part], sound[part] = self._solved(moments, self.queries[part, 0])
+        if not sound.all():
+            poor = ~sound
+            value[poor], lever[poor] = BlockwiseFits(self.points, self.y, self.queries[poor], self.neighbours, self.q, self.config).values(robust, own[poor], fallback)
+        return value, lever
+
+    def _solved(self, moments: Moments, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, leverages, and which of them are as good as sums over the single points."""
+        x, powers = moments.x, np.arange(self.config.degree + 1)
+        first = self.neighbours.stretch(v, self.q)
+        end = first + self.q
+        reach = np.maximum(np.abs(v - x[first]), np.abs(x[end - 1] - v))
+        sound = reach * self.neighbours.factor > EPS
+        unit = np.where(sound, reach, 1.0)
+        middle = np.clip(np.searchsorted(x, v), first, end)
+        left, left_y = moments.sums(v, unit, -1, first, middle)
+        right, right_y = moments.sums(v, unit, 1, middle, end)
+        sums = right + left * (-1.0) ** np.arange(left.shape[1])
+        normal, target = sums[:, powers[:, None] + powers], right_y + left_y * (-1.0) ** powers
+        diagonal = sums[:, 2 * powers]
+        sound &= (diagonal > 1e-5 * self.q).all(axis=1) & (diagonal * unit[:, None] ** (2 * powers) > 10 * EPS).all(axis=1)
+        scale = 1 / np.sqrt(np.where(sound[:, None], diagonal, 1.0))
+        sound &= _least_eigenvalue(np.where(sound[:, None, None], normal * scale[:, :, None] * scale[:, None, :], 0.0)) > 1e-3
+        value, lever = np.zeros(len(v)), np.zeros(len(v))
+        if sound.any():
+            beta, lever[sound] = solve(normal[sound], target[sound])
+            value[sound] = beta[:, 0]
+        return value, lever, sound
+
+
+def local_fits(points: np.ndarray, y: np.ndarray, queries: np.ndarray, neighbours: Neighbours, q: int, c: SmootherConfig) -> LocalFits | BlockwiseFits | MomentFits:
+    if len(queries) * min(q, len(points)) <= KEPT:
+        return LocalFits(points, y, queries, *neighbours.find(queries, q), c)
+    known = neighbours.order is not None and c.custom_weight is None and c.weight_function in POLYNOMIALS and c.degree <= 2
+    return (MomentFits if known and q >= 100 else BlockwiseFits)(points, y, queries, neighbours, q, c)
 
 
 # --- interpolation surface ---------------------------------------------------------------------------

@@ -196,3 +196,9 @@ def test_hooks_and_single_precision(spark, events):
     mean = lambda x, y, c: N.Fit(np.full(len(y), y.mean()), np.ones(len(y)), 1, c.fraction)
     rows = Smoother().fit(one, "x", "y", "user_id", custom_fit=mean, precision="float").points
     assert rows.schema["y_smooth"].dataType.simpleString() == "float" and rows.select("y_smooth").distinct().count() == 1
+
+
+def test_best_fraction_fits_each_series_once(spark, sf):
+    from driftline import catalog
+
+    assert catalog.QUERIES["best_fraction"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

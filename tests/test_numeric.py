@@ -302,3 +302,25 @@ def test_folds_fit_only_the_rows_that_the_held_out_ones_lie_between(seed, policy
     got = [N._held_out_error(x, y, t, c) for t in folds]
     assert np.allclose(np.concatenate(got), np.concatenate(want))
     assert iterations > 1 or max(asked) <= (2 * 18 if seed else 6)
+
+
+@pytest.mark.parametrize("name", sorted(N.POLYNOMIALS))
+@pytest.mark.parametrize("degree", [0, 1, 2])
+@pytest.mark.parametrize("kind", ["grid", "uneven", "ties", "clusters", "far"])
+def test_fits_by_moments_equal_fits_by_points(name, degree, kind):
+    rng = np.random.default_rng(degree)
+    n = 700
+    x = {"grid": np.arange(n), "uneven": np.exp(4 * rng.normal(size=n)), "ties": rng.integers(0, 9, n), "clusters": np.r_[rng.random(n // 2) * 1e-6, rng.random(n // 2) * 1e3], "far": 1e9 + rng.random(n)}[kind].astype(float)[:, None]
+    y, robust = 900 + rng.normal(size=n).cumsum(), rng.random(n) * (rng.random(n) > 0.3)
+    c = SmootherConfig(fraction=0.35, degree=degree, weight_function=name, surface_mode="direct")
+    near, queries = N.Neighbours(x, c, N.scales_of(x)), np.r_[x, x[:50] + np.ptp(x) / 9, x[:1] - 5 * np.ptp(x)]
+    args = robust, np.zeros(len(queries)), "use_local_mean"
+    for got, want in zip(N.MomentFits(x, y, queries, near, 245, c).values(*args), N.BlockwiseFits(x, y, queries, near, 245, c).values(*args), strict=True):
+        assert np.allclose(got, want, rtol=1e-8, atol=1e-10 * np.abs(want).max())
+
+
+def test_a_long_direct_fit_visits_no_neighbourhood_point_by_point(monkeypatch):
+    monkeypatch.setattr(N.LocalFits, "__post_init__", lambda self: pytest.fail("point by point"))
+    x = np.arange(20000.0)
+    fit = N.fit_series(x, 3 * x - 7, SmootherConfig(fraction=0.8, iterations=1, surface_mode="direct", boundary_policy="none"))
+    assert np.allclose(fit.y, 3 * x - 7)
