@@ -100,14 +100,15 @@ class Neighbours:
         index = self.order[self.stretch(v, q)[:, None] + np.arange(q)]
         return index, np.abs(self.points[index, 0] - v[:, None]) * self.factor
 
-    def stretch(self, v: np.ndarray, q: int) -> np.ndarray:
-        """Where on the line the ``q`` nearest points of each place begin."""
-        x = self.line
-        low, high = np.zeros(len(v), np.int64), np.full(len(v), len(x) - q, np.int64)
+    def stretch(self, v: np.ndarray, q: int, gone: np.ndarray | None = None) -> np.ndarray:
+        """Where on the line the ``q`` nearest points of each place begin; ``gone`` has the point of the line that each leaves out, which is not counted."""
+        seen = (lambda k: k) if gone is None else (lambda k: k + (k >= gone))
+        x, last = self.line, len(self.line) - 1 - (gone is not None)
+        low, high = np.zeros(len(v), np.int64), np.full(len(v), last + 1 - q, np.int64)
         while (low < high).any():  # leftmost stretch whose left end is no farther than the point after its right end
             middle = (low + high) // 2
-            right = np.minimum(middle + q, len(x) - 1)
-            go = (low < high) & (v - x[middle] > x[right] - v)
+            right = np.minimum(middle + q, last)
+            go = (low < high) & (v - x[seen(middle)] > x[seen(right)] - v)
             low, high = np.where(go, middle + 1, low), np.where(go, high, np.where(low < high, middle, high))
         return low
 
@@ -296,15 +297,16 @@ class LocalFits:
 class BlockwiseFits:
     """The values of ``LocalFits`` for so many queries that their neighbours are found, used and forgotten in blocks."""
 
-    def __init__(self, points: np.ndarray, y: np.ndarray, queries: np.ndarray, neighbours: Neighbours, q: int, config: SmootherConfig):
-        self.points, self.y, self.queries, self.neighbours, self.q, self.config = points, y, queries, neighbours, q, config
+    def __init__(self, points: np.ndarray, y: np.ndarray, queries: np.ndarray, neighbours: Neighbours, q: int, config: SmootherConfig, skip: np.ndarray | None = None):
+        self.points, self.y, self.queries, self.neighbours, self.q, self.config, self.skip = points, y, queries, neighbours, q, config, skip
         self.step = max(1, BLOCK // min(q, len(points)))
 
     def values(self, robust: np.ndarray, own: np.ndarray, fallback: str) -> tuple[np.ndarray, np.ndarray]:
         value, lever = np.empty(len(self.queries)), np.empty(len(self.queries))
         for k in range(0, len(self.queries), self.step):
             part = slice(k, k + self.step)
-            fits = LocalFits(self.points, self.y, self.queries[part], *self.neighbours.find(self.queries[part], self.q), self.config)
+            near = self.neighbours.find(self.queries[part], self.q, None if self.skip is None else self.skip[part])
+            fits = LocalFits(self.points, self.y, self.queries[part], *near, self.config)
             value[part], lever[part] = fits.values(robust, own[part], fallback)
         return value, lever
 
@@ -379,35 +381,42 @@ class MomentFits:
     Neighbourhoods whose weights hardly determine a fit, where rounding would matter, are fitted point by point.
     """
 
-    def __init__(self, points: np.ndarray, y: np.ndarray, queries: np.ndarray, neighbours: Neighbours, q: int, config: SmootherConfig):
-        self.points, self.y, self.queries, self.neighbours, self.q, self.config = points, y, queries, neighbours, min(q, len(points)), config
+    def __init__(self, points: np.ndarray, y: np.ndarray, queries: np.ndarray, neighbours: Neighbours, q: int, config: SmootherConfig, skip: np.ndarray | None = None):
+        self.points, self.y, self.queries, self.neighbours, self.config, self.skip = points, y, queries, neighbours, config, skip
+        self.q = min(q, len(points) - (skip is not None))
         self.step = max(1, BLOCK // 200)
 
     def values(self, robust: np.ndarray, own: np.ndarray, fallback: str) -> tuple[np.ndarray, np.ndarray]:
         order = self.neighbours.order
         moments = Moments(self.neighbours.line, self.y[order], robust[order], self.config.weight_function, self.config.degree)
         value, lever, sound = np.empty(len(self.queries)), np.empty(len(self.queries)), np.empty(len(self.queries), bool)
+        gone = None if self.skip is None else np.argsort(order)[self.skip]
         for k in range(0, len(self.queries), self.step):
             part = slice(k, k + self.step)
-            value[part], lever[part], sound[part] = self._solved(moments, self.queries[part, 0])
+            value[part], lever[part], sound[part] = self._solved(moments, self.queries[part, 0], None if gone is None else gone[part])
         if not sound.all():
             poor = ~sound
-            value[poor], lever[poor] = BlockwiseFits(self.points, self.y, self.queries[poor], self.neighbours, self.q, self.config).values(robust, own[poor], fallback)
+            skip = None if self.skip is None else self.skip[poor]
+            value[poor], lever[poor] = BlockwiseFits(self.points, self.y, self.queries[poor], self.neighbours, self.q, self.config, skip).values(robust, own[poor], fallback)
         return value, lever
 
-    def _solved(self, moments: Moments, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _solved(self, moments: Moments, v: np.ndarray, gone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Values, leverages, and which of them are as good as sums over the single points."""
         x, powers = moments.x, np.arange(self.config.degree + 1)
-        first = self.neighbours.stretch(v, self.q)
+        first = self.neighbours.stretch(v, self.q, gone)
         end = first + self.q
+        if gone is not None:
+            first, end = first + (first >= gone), end + (end > gone)
         reach = np.maximum(np.abs(v - x[first]), np.abs(x[end - 1] - v))
         sound = reach * self.neighbours.factor > EPS
         unit = np.where(sound, reach, 1.0)
         middle = np.clip(np.searchsorted(x, v), first, end)
-        left, left_y = moments.sums(v, unit, -1, first, middle)
-        right, right_y = moments.sums(v, unit, 1, middle, end)
-        sums = right + left * (-1.0) ** np.arange(left.shape[1])
-        normal, target = sums[:, powers[:, None] + powers], right_y + left_y * (-1.0) ** powers
+        sums, target = 0.0, 0.0
+        for side, low, high in ((-1, first, middle), (1, middle, end)):
+            for start, stop in [(low, high)] if gone is None else [(low, np.clip(gone, low, high)), (np.clip(gone + 1, low, high), high)]:
+                plain, times_y = moments.sums(v, unit, side, start, stop)
+                sums, target = sums + plain * float(side) ** np.arange(plain.shape[1]), target + times_y * float(side) ** powers
+        normal = sums[:, powers[:, None] + powers]
         diagonal = sums[:, 2 * powers]
         sound &= (diagonal > 1e-5 * self.q).all(axis=1) & (diagonal * unit[:, None] ** (2 * powers) > 10 * EPS).all(axis=1)
         scale = 1 / np.sqrt(np.where(sound[:, None], diagonal, 1.0))
@@ -419,11 +428,12 @@ class MomentFits:
         return value, lever, sound
 
 
-def local_fits(points: np.ndarray, y: np.ndarray, queries: np.ndarray, neighbours: Neighbours, q: int, c: SmootherConfig) -> LocalFits | BlockwiseFits | MomentFits:
+def local_fits(points: np.ndarray, y: np.ndarray, queries: np.ndarray, neighbours: Neighbours, q: int, c: SmootherConfig, skip: np.ndarray | None = None) -> LocalFits | BlockwiseFits | MomentFits:
+    """Fits at ``queries``; ``skip`` has the point that each leaves out."""
     if len(queries) * min(q, len(points)) <= KEPT:
-        return LocalFits(points, y, queries, *neighbours.find(queries, q), c)
+        return LocalFits(points, y, queries, *neighbours.find(queries, q, skip), c)
     known = neighbours.order is not None and c.custom_weight is None and c.weight_function in POLYNOMIALS and c.degree <= 2
-    return (MomentFits if known and q >= 100 else BlockwiseFits)(points, y, queries, neighbours, q, c)
+    return (MomentFits if known and q >= 100 else BlockwiseFits)(points, y, queries, neighbours, q, c, skip)
 
 
 # --- interpolation surface ---------------------------------------------------------------------------
@@ -644,13 +654,21 @@ def shuffled(n: int, seed: int | None) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def bracket(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of sorted ``x`` next to the places ``at`` and the share of the right one; beyond the ends both are the outermost row."""
-    last = len(x) - 1
-    right = np.clip(np.searchsorted(x, at, side="left"), min(1, last), last)
+def bracket(x: np.ndarray, at: np.ndarray, gone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of sorted ``x`` next to the places ``at`` and the share of the right one; beyond the ends both are the outermost row.
+
+    ``gone`` has the row that each place does without.
+    """
+    last, right = len(x) - 1, np.searchsorted(x, at, side="left")
+    seen = lambda k: k
+    if gone is not None:
+        last, right = last - 1, right - (gone < right)
+        seen = lambda k: k + (k >= gone)
+    right = np.clip(right, min(1, last), last)
     left = np.maximum(right - 1, 0)
-    for row, outside in ((last, at >= x[-1]), (0, at <= x[0])):
+    for row, outside in ((last, at >= x[seen(last)]), (0, at <= x[seen(0)])):
         left, right = np.where(outside, row, left), np.where(outside, row, right)
+    left, right = seen(left), seen(right)
     width = x[right] - x[left]
     share = np.where(width > 0, np.clip((at - x[left]) / np.where(width > 0, width, 1), 0, 1), 0.5)
     return left, right, share
@@ -690,6 +708,21 @@ def _held_out_error(x: np.ndarray, y: np.ndarray, test: np.ndarray, c: SmootherC
     return (y[test] - low - share * (high - low)) ** 2
 
 
+def _left_out_errors(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> list[np.ndarray]:
+    """Squared errors of each row under a fit to all other rows."""
+    n = len(y)
+    if x.shape[1] > 1 or n < 4 or c.surface_mode != "direct" or c.iterations > 1 or c.boundary_policy != "none":
+        return [_held_out_error(x, y, test, c) for test in fold_rows(n, CrossValidation((c.fraction,), None))]
+    order = np.argsort(x[:, 0], kind="stable")
+    x, y = x[order], y[order]
+    rows = np.arange(1, n - 1)  # without an outermost row distances may have another scale
+    left, right, share = bracket(x[:, 0], x[rows, 0], rows)
+    at = np.concatenate([left, right])
+    fits = local_fits(x, y, x[at], Neighbours(x, c, scales_of(x)), span(n - 1, c.fraction), c, np.concatenate([rows, rows]))
+    low, high = fits.values(np.ones(n), y[at], c.zero_weight_fallback)[0].reshape(2, -1)
+    return [_held_out_error(x, y, np.array([0]), c), (y[rows] - low - share * (high - low)) ** 2, _held_out_error(x, y, np.array([n - 1]), c)]
+
+
 def fold_rows(n: int, cv: CrossValidation) -> list[np.ndarray]:
     """Test rows of each fold; the last one takes what is left over."""
     if cv.folds is None:
@@ -711,7 +744,8 @@ def cross_validate(x: np.ndarray, y: np.ndarray, c: SmootherConfig) -> tuple[flo
         return cv.fractions[0], [0.0] * len(cv.fractions)
     scores = []
     for f in cv.fractions:
-        errors = [_held_out_error(x, y, test, plain.but(fraction=f)) for test in fold_rows(n, cv)]
+        own = plain.but(fraction=f)
+        errors = _left_out_errors(x, y, own) if cv.folds is None else [_held_out_error(x, y, test, own) for test in fold_rows(n, cv)]
         if cv.folds is None:
             scores.append(math.sqrt(sum(float(e.sum()) for e in errors) / n))
         else:

@@ -324,3 +324,32 @@ def test_a_long_direct_fit_visits_no_neighbourhood_point_by_point(monkeypatch):
     x = np.arange(20000.0)
     fit = N.fit_series(x, 3 * x - 7, SmootherConfig(fraction=0.8, iterations=1, surface_mode="direct", boundary_policy="none"))
     assert np.allclose(fit.y, 3 * x - 7)
+
+
+@pytest.mark.parametrize("degree, name, metric", [(1, "tricube", "normalized"), (2, "biweight", "euclidean"), (1, "cosine", "normalized"), (0, "triangle", "manhattan"), (3, "tricube", "euclidean")])
+@pytest.mark.parametrize("kind", ["grid", "uneven", "ties", "unsorted", "equal", "four"])
+def test_leaving_one_out_equals_one_fit_for_each_row(degree, name, metric, kind, monkeypatch):
+    rng = np.random.default_rng(degree)
+    n = 4 if kind == "four" else 180
+    x = {"grid": np.arange(n), "uneven": np.sort(np.exp(4 * rng.normal(size=n))), "ties": np.sort(rng.integers(0, 60, n)), "unsorted": rng.random(n), "equal": np.ones(n), "four": np.arange(n)}[kind].astype(float)[:, None]
+    y = 900 + rng.normal(size=n).cumsum()
+    for fraction in (0.05, 0.6):
+        c = SmootherConfig(fraction=fraction, degree=degree, weight_function=name, distance_metric=metric, iterations=1, surface_mode="direct", boundary_policy="none", cross_validation=CrossValidation((fraction,), None))
+        want = []
+        for k in range(n):
+            rest = np.delete(np.arange(n), k)
+            rest = rest[np.argsort(x[rest, 0], kind="stable")]
+            want.append((y[k] - N.between(x[rest, 0], N.smooth(x[rest], y[rest], c.but(cross_validation=None)).y, x[k, 0])[()]) ** 2)
+        for kept in (8_000_000, 0):  # at once, then by moments or blocks
+            monkeypatch.setattr(N, "KEPT", kept)
+            assert N.cross_validate(x, y, c)[1][0] == pytest.approx(math.sqrt(np.mean(want)), rel=1e-9)
+        monkeypatch.undo()
+
+
+def test_leaving_one_out_of_a_long_series_takes_no_fit_for_each_row(monkeypatch):
+    asked, fits = [], N.local_fits
+    monkeypatch.setattr(N, "local_fits", lambda *a: asked.append(len(a[2])) or fits(*a))
+    x = np.arange(5000.0)
+    c = SmootherConfig(iterations=1, surface_mode="direct", boundary_policy="none", cross_validation=CrossValidation((0.5, 1.0), None))
+    assert max(N.cross_validate(x[:, None], 2 * x, c)[1]) < 0.05
+    assert len(asked) <= 6
